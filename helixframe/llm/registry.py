@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import byte_bpe, exact_dedup, simhash
+from . import byte_bpe, exact_dedup, simhash, token_count, token_shards
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op7_token_count": token_count.op7_token_count,
+    "op10_token_shards": token_shards.op10_token_shards,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
