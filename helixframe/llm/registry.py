@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import byte_bpe, exact_dedup, simhash, token_count, token_shards
+from . import ann, byte_bpe, exact_dedup, language_id, simhash, token_count, token_shards
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_language_id": language_id.op3_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op7_token_count": token_count.op7_token_count,
+    "op8_ann": ann.op8_ann,
     "op10_token_shards": token_shards.op10_token_shards,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
