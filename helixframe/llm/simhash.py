@@ -188,26 +188,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, f (the fingerprint as a signed long) of each row."""
+    """id, h (a hash of the text) and f (the fingerprint as a signed long) of each row."""
 
     def run(batches):
         for batch in batches:
             f = np.array([fingerprint(x) for x in texts(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(f.view(np.int64))], ["id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f.view(np.int64))], ["id", "h", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, f long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h long, f long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id_col, fingerprint, component_id (the smallest id reachable over links)."""
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h, f, component_id of each row."""
     own = written(fingerprints(docs, id_col, text_col), "simhash-documents")
     nodes = written(own.groupBy("f").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("f")))
     placed = written(nodes.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f")), "simhash-roots")
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     names = written(lookup(placed.select("root", "f", F.col("n").alias("rows")), written(named, "simhash-names"), "root", nodes.count()).select("f", "component_id", F.col("rows").alias("n")), "simhash-names")
-    found = lookup(own, names, "f", own.count())
+    return lookup(own, names, "f", own.count())
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id_col, fingerprint, component_id (the smallest id reachable over links)."""
+    found = grouped(docs, id_col, text_col)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -216,10 +221,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's; of rows with the same id and text one stays.
+    """The documents whose id is their component's, with all their columns.
 
-    Where a component holds no id, nothing can name the one that stays, and all its rows stay."""
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__hx_gone")).distinct()
-    staying = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__hx_gone")), "left_anti")
-    return staying
+    Rows are told apart by id and a hash of the text. Rows that repeat the staying id stay with it; where a component
+    holds no id, nothing can name the one that stays, and all its rows stay."""
+    gone = grouped(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__hx_id"), F.col("h").alias("__hx_h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__hx_id")) & (F.xxhash64(F.col(text_col)) == F.col("__hx_h"))
+    return docs.join(gone, same, "left_anti")
