@@ -21,7 +21,7 @@ def components(targets: DataFrame) -> DataFrame:
 def build(targets: DataFrame, k: int) -> DataFrame:
     """code, component, pathset, postings: the number of components of the code."""
     rows = seeds(components(targets).select("component", "path", "seq"), "seq", k)
-    sets = rows.groupBy("code", "component").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("path"))).alias("pathset"))
+    sets = rows.groupBy("code", "component").agg(F.bit_or(F.expr("shiftleft(1L, path)")).alias("pathset"))
     n = sets.groupBy("code").agg(F.count(F.lit(1)).alias("postings"))
     return sets.join(n, "code")
 

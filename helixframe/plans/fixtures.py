@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-K, READ = 21, 91
+K, READ = 15, 91
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, cb, umi, gene, from events."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("read_id"), base4(F.col("user_id") % 16, 16).alias("cb"), base4(F.get_json_object("props", "$.k").cast("long"), 12).alias("umi"), F.col("event_type").alias("gene")
+        F.col("event_id").alias("read_id"), base4(F.col("user_id") % 16, 16).alias("cb"), base4(F.get_json_object("props", "$.k").cast("long") * 64 + F.col("event_id") % 61, 12).alias("umi"), F.col("event_type").alias("gene")
     )
 
 
@@ -88,7 +88,7 @@ def seeds_sql(stride: int, name: str = "seeds", seq: str = "seq", reads: str = "
 
 
 EVIDENCE = f"""evidence AS (SELECT event_id AS read_id, {SQL_BASE4.format('user_id % 16', 16)} AS cb,
-  {SQL_BASE4.format("CAST(props->>'$.k' AS BIGINT)", 12)} AS umi, event_type AS gene FROM events),
+  {SQL_BASE4.format("CAST(props->>'$.k' AS BIGINT) * 64 + event_id % 61", 12)} AS umi, event_type AS gene FROM events),
 whitelist AS (SELECT {SQL_BASE4.format('id * 5', 16)} AS cb FROM range(3) t(id))"""
 RECORDS = f"""{EVIDENCE},
 records AS (SELECT read_id, cb, umi, gene, [1, 1, 2, 3, 1, 2, 8][read_id % 7 + 1] AS state FROM evidence
