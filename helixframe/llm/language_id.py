@@ -15,6 +15,7 @@ learnt from and count as not held out. Repeated rows get equal results. Other co
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from .common import rows_of, table, texts
 
 UNKNOWN = "und"
 #: Rows that the model is fitted on at most, features, and bytes of text hashed at a time.
-SAMPLE, FEATURES, RUN = 3000, 1 << 13, 1 << 20
+SAMPLE, FEATURES, RUN = 3000, 1 << 12, 1 << 20
 SIZES = (1, 2, 3, 4)
 GAPS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -77,7 +78,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -
     share = {s: cost * len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     slack = np.array([0.5 / share[int(s)] for s in y])
     order, rng = np.arange(len(x)), np.random.default_rng(7)
-    norms = (x * x).sum(axis=1) + 1 + slack
+    norms = np.einsum("ij,ij->i", x, x) + 1 + slack
     for _ in range(rounds):
         rng.shuffle(order)
         for i in order:
@@ -117,12 +118,16 @@ class LanguageModel:
 
 
 def fit(rows: list[tuple[str, np.ndarray]]) -> LanguageModel:
-    """rows: language and features."""
+    """rows: language and features; emptied on the way, to hold them once."""
     languages = sorted({x for x, _ in rows})
     if not languages:
         return LanguageModel([], [], [], np.zeros((0, FEATURES + 1)))
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
-    x, label = np.stack([v for _, v in rows]).astype(np.float32), np.array([languages.index(k) for k, _ in rows])
+    rows.sort(key=lambda r: (r[0], zlib.crc32(r[1])))
+    label = np.array([languages.index(k) for k, _ in rows])
+    x = np.empty((len(rows), FEATURES), np.float32)
+    for i, (_, v) in enumerate(rows):
+        x[i] = v
+    rows.clear()
     known = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
     names = [known.get(re.split("[-_]", k.lower())[0]) for k in languages]
     centre = np.stack([x[label == i].mean(axis=0) for i in range(len(languages))])
@@ -160,11 +165,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     def run(batches):
         for batch in rows_of(batches, 64):
-            own = [(k, features(t).astype(np.float32).tobytes()) for k, t in zip(batch.column("label").to_pylist(), texts(batch, "text")) if has_letter(t)]
+            own = [(k, features(t).astype(np.float16).tobytes()) for k, t in zip(batch.column("label").to_pylist(), texts(batch, "text")) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([v for _, v in own], pa.binary())], ["label", "x"])
 
     drawn = drawn.select("label", "text").mapInArrow(run, "label string, x binary").limit(2 * most)
-    return fit([(r[0], np.frombuffer(r[1], np.float32)) for r in drawn.toLocalIterator()])
+    return fit([(r[0], np.frombuffer(r[1], np.float16)) for r in drawn.toLocalIterator()])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
