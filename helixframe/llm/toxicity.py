@@ -30,7 +30,7 @@ from .common import Memo, rows_of, table, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 HEADS = (4, 5, 6)
-SAMPLE, BITS, CHOSEN, MARK, GRADES, MEMO_WORDS = 8000, 22, 6000, 8.0, 4, 400_000
+SAMPLE, BITS, CHOSEN, MARK, GRADES, MEMO_WORDS = 5000, 20, 6000, 8.0, 4, 400_000
 
 
 def keys_of(word: str) -> list[int]:
@@ -109,23 +109,25 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, value: np.ndarray, grade: np.nd
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Severity:
-    """rows: toxic 0 or 1, hashed features, counts. prior: the share of toxic rows among all labelled ones."""
+    """rows: toxic 0 or 1, hashed features, counts. prior: the share of toxic rows among all labelled ones.
+    rows is emptied on the way, to hold them once."""
     toxic = np.array([r[0] for r in rows])
     if len(set(toxic.tolist())) < 2:
         return Severity()
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    key, count = np.concatenate([r[1] for r in rows]).astype(np.int64), np.concatenate([r[2] for r in rows]).astype(np.float64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    key, count, size = np.concatenate([r[1] for r in rows]).view(np.int32), np.concatenate([r[2] for r in rows]).astype(np.float32), len(rows)
+    rows.clear()
     bad, good = (np.bincount(key[toxic[row] == k], minlength=1 << BITS).astype(float) for k in (1, 0))
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    p, both = (bad + good) / len(rows), bad + good
+    p, both = (bad + good) / size, bad + good
     z = np.abs(bad / n1 - good / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     often = np.flatnonzero(both >= 3)
     chosen = often[np.argsort(-z[often], kind="stable")[:CHOSEN]]
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     rate = (bad + 0.5) / n1 / ((good + 0.5) / n0)
     mark = (rate >= MARK) & (bad >= 3)
-    marks = np.bincount(row[mark[key]], count[mark[key]], len(rows))
+    marks = np.bincount(row[mark[key]], count[mark[key]], size)
     cuts = np.quantile(marks[toxic == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grade = np.where(toxic == 1, 1 + (marks[:, None] > cuts[None, :]).sum(axis=1), 0)
     grade = np.searchsorted(np.unique(grade), grade)  # without grades that no row has
