@@ -34,7 +34,9 @@ from .common import Memo, fresh_path, partitions, rows_of, table, texts
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Ids in a shard before it is closed; entries that a worker remembers.
-SHARD, MEMO_UNITS, MEMO_PIECES, DOCS = 1 << 20, 300_000, 250_000, 1024
+SHARD, MEMO_UNITS, MEMO_PIECES, DOCS = 1 << 20, 100_000, 500_000, 1024
+#: Characters whose new units are asked for together, and units in one call of the library.
+GROUP, RUN = 1 << 21, 1 << 12
 MAGIC = b"WVM1"
 
 
@@ -160,10 +162,14 @@ class Encoder:
     """Whole texts to ids by the tokenizers library, asked once for each unit while it is remembered.
 
     The file's pre-tokenizer drops white space, and neither its normalizer nor its pattern reaches over a space,
-    so the units between spaces are encoded each on their own. ASCII units are lower-cased and cut by the
-    pattern itself. A text that holds the start of a special token goes to the library whole."""
+    so what stands between spaces is encoded on its own. A text of characters that normalizing only lower-cases is
+    cut by the pattern here, and the library is asked for its pieces; other texts are cut at spaces. A text that
+    holds a special token goes to the library whole."""
 
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+    #: ASCII and Latin letters that are normal as they stand and have one lower case; white space beyond ASCII is left out.
+    SIMPLE = re.compile(r"[\x00-\x7f\xa1-\u012f\u0131-\u017f]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\ra-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+    WORD_END = "</w>"
 
     def __init__(self, path: str):
         import json
@@ -172,46 +178,72 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.units, self.pieces = Memo(MEMO_UNITS), Memo(MEMO_PIECES)
-        self.special = [x["content"] for x in json.load(open(path))["added_tokens"]]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for x, i in vocabulary.items() if x.endswith(self.WORD_END)]] = True
+        added = json.load(open(path))["added_tokens"]
+        self.special = [x["content"] for x in added]
+        self.between, self.between_id = added[-1]["content"], added[-1]["id"]
 
     def ask(self, wanted: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(wanted, add_special_tokens=False)]
-
-    def learn(self, units: list[str]) -> None:
-        """Puts units into the memory."""
-        cut, plain, pieces = [], [], self.pieces
-        for unit in units:
-            (cut if unit.isascii() else plain).append(unit)
-        parts = [self.PIECES.findall(x.lower()) for x in cut]
-        new = list(dict.fromkeys(p for x in parts for p in x if pieces[p] is None))
-        for piece, ids in zip(new, self.ask(new)):
-            pieces.keep(piece, ids)
-        late = dict(zip(new, map(pieces.get, new)))
-        for unit, x in zip(cut, parts):
-            self.units.keep(unit, b"".join([pieces[p] or late.get(p) or self.ask([p])[0] for p in x]))
-        for unit, ids in zip(plain, self.ask(plain)):
-            self.units.keep(unit, ids)
+        """Ids of each string, by one call of the library over runs of them: a special token, which none of them holds,
+        stands between, and its id parts the result."""
+        out: list[bytes] = []
+        for at in range(0, len(wanted), RUN):
+            ids = np.array(self.library.encode(self.between.join(wanted[at : at + RUN]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.between_id)
+            whole, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            out += [whole[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(whole)])]
+        return out
+
+    def ask_pieces(self, wanted: list[str]) -> list[bytes]:
+        """The same for pieces that the pattern leaves whole: the token that ends a word parts the result."""
+        out: list[bytes] = []
+        for at in range(0, len(wanted), RUN):
+            run = wanted[at : at + RUN]
+            ids = np.array(self.library.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.final[ids]) + 1)
+            if len(ends) != len(run):
+                out += self.ask(run)
+                continue
+            whole = ids.tobytes()
+            out += [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        units, out = self.units, []
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in batch:
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                out += self.encode_group(group)
+                group, size = [], 0
+        return out + self.encode_group(group)
+
+    def encode_group(self, batch: list[str]) -> list[bytes]:
+        """The same; what is new to the worker is asked for together."""
+        rows, pieces, units = [], {}, {}
         for text in batch:
             if any(x in text for x in self.special):
-                out.append(self.ask([text])[0])
+                rows.append((np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), None, None))
                 continue
-            parts = text.split(" ")
-            found = [units[x] for x in parts]
+            simple = self.SIMPLE.fullmatch(text)
+            parts, memo, wanted = (self.PIECES.findall(text.lower()), self.pieces, pieces) if simple else (text.split(" "), self.units, units)
+            found = list(map(memo.get, parts))
             if None in found:
-                at = [i for i, x in enumerate(found) if x is None]
-                wanted = list(dict.fromkeys(parts[i] for i in at))
-                for lo in range(0, len(wanted), MEMO_UNITS // 4):
-                    self.learn(own := wanted[lo : lo + MEMO_UNITS // 4])
-                    got = {x: units[x] for x in own}
-                    for i in at:
-                        if found[i] is None:
-                            found[i] = got.get(parts[i])
-            out.append(b"".join(found))
-        return out
+                for i, x in enumerate(found):
+                    if x is None:
+                        found[i] = x = memo[parts[i]]
+                        if x is None:
+                            wanted[parts[i]] = None
+            rows.append((parts, found, wanted))
+        for memo, wanted, ask in ((self.pieces, pieces, self.ask_pieces), (self.units, units, self.ask)):
+            for x, ids in zip(list(wanted), ask(list(wanted))):
+                wanted[x] = memo.keep(x, ids)
+        return [a if b is None else b"".join(b if None not in b else [new[p] if x is None else x for p, x in zip(a, b)]) for a, b, new in rows]
 
 
 @cache
