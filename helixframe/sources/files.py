@@ -80,7 +80,8 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     """line, contig, feature, start, end, strand, gene_id, transcript_id (with its version), attributes."""
     lines = numbered_lines(spark, path).where(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
-    rows = lines.where(F.size(f) >= 9).select("line", f[0].alias("contig"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("end"), f[6].alias("strand"), S.gtf_attributes(f[8]).alias("attributes"))
+    at = lambda i: F.get(f, F.lit(i))
+    rows = lines.where(F.size(f) >= 9).select("line", at(0).alias("contig"), at(2).alias("feature"), at(3).cast("long").alias("start"), at(4).cast("long").alias("end"), at(6).alias("strand"), S.gtf_attributes(at(8)).alias("attributes"))
     a = F.col("attributes")
     name, version = a["transcript_id"], a["transcript_version"]
     whole = F.when(version.isNotNull() & ~F.coalesce(name.contains("."), F.lit(False)), F.concat(name, F.lit("."), version)).otherwise(name)
@@ -141,14 +142,14 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).where(~F.col("value").startswith("%"))
     shape = lines.groupBy("file").agg(F.min("line").alias("shape"))
     f = F.split(F.trim("value"), r"\s+")
-    return lines.join(F.broadcast(shape), "file").where(F.col("line") > F.col("shape")).select((f[0].cast("long") - 1).alias("gene_id"), (f[1].cast("long") - 1).alias("cell_id"), f[2].cast("long").alias("count"))
+    return lines.join(F.broadcast(shape), "file").where(F.col("line") > F.col("shape")).select((F.get(f, F.lit(0)).cast("long") - 1).alias("gene_id"), (F.get(f, F.lit(1)).cast("long") - 1).alias("cell_id"), F.get(f, F.lit(2)).cast("long").alias("count"))
 
 
 def read_perf_counters(spark: SparkSession, path: str) -> DataFrame:
     """counter, value of `perf stat` output, comma-separated or free text."""
     v = F.trim("value")
     comma = F.split(v, ",")
-    is_csv = (F.size(comma) >= 3) & comma[0].rlike(r"^[0-9.]+$")
-    number = F.when(is_csv, comma[0]).otherwise(F.regexp_replace(F.regexp_extract(v, r"^([0-9][0-9,.]*)\s+\S+", 1), ",", ""))
-    name = F.when(is_csv, comma[2]).otherwise(F.regexp_extract(v, r"^[0-9][0-9,.]*\s+(\S+)", 1))
+    is_csv = (F.size(comma) >= 3) & F.get(comma, F.lit(0)).rlike(r"^[0-9.]+$")
+    number = F.when(is_csv, F.get(comma, F.lit(0))).otherwise(F.regexp_replace(F.regexp_extract(v, r"^([0-9][0-9,.]*)\s+\S+", 1), ",", ""))
+    name = F.when(is_csv, F.get(comma, F.lit(2))).otherwise(F.regexp_extract(v, r"^[0-9][0-9,.]*\s+(\S+)", 1))
     return spark.read.text(path).select(name.alias("counter"), number.cast("double").alias("value")).where("counter <> '' AND value IS NOT NULL")
