@@ -30,7 +30,9 @@ from .common import Memo, rows_of, table, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 HEADS = (4, 5, 6)
-SAMPLE, BITS, CHOSEN, MARK, GRADES, MEMO_WORDS = 5000, 20, 6000, 8.0, 4, 400_000
+SAMPLE, BITS, MARK, GRADES, MEMO_WORDS = 5000, 20, 8.0, 4, 400_000
+#: Features kept: one to two rows, within these bounds.
+CHOSEN = 300, 1000
 
 
 def keys_of(word: str) -> list[int]:
@@ -122,7 +124,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Severit
     p, both = (bad + good) / size, bad + good
     z = np.abs(bad / n1 - good / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     often = np.flatnonzero(both >= 3)
-    chosen = often[np.argsort(-z[often], kind="stable")[:CHOSEN]]
+    chosen = often[np.argsort(-z[often], kind="stable")[: min(CHOSEN[1], max(CHOSEN[0], size // 2))]]
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     rate = (bad + 0.5) / n1 / ((good + 0.5) / n0)
@@ -165,7 +167,7 @@ def severity(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col:
     """A row a document: id_col, severity (expected grade), grade (the likeliest), p_toxic, toxic (p_toxic >= least)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in rows_of(batches, 512):
             out = [model.predict(x) for x in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.float64())))], ["id", "severity", "grade", "p_toxic"])
 
