@@ -214,7 +214,8 @@ def test_streamed_mapping_equals_a_batch(spark, tmp_path):
     rng = random.Random(3)
     seqs = [bases(rng, 100) for _ in range(4)]
     index = M.build_index(spark.createDataFrame([(f"g{i}", 1, s) for i, s in enumerate(seqs)], TARGETS), 15).persist()
-    reads = reads_of(spark, [s[:80] for s in seqs] * 5)
+    umi = F.element_at(F.array(*[F.lit(x * 12) for x in "ACGT"]), (F.col("read_id") % 4 + 1).cast("int"))
+    reads = reads_of(spark, [s[:80] for s in seqs] * 5).withColumn("r1", F.concat(F.lit(CB), umi))
     reads.repartition(5).write.parquet(str(tmp_path / "in"))
     q = streaming.map_stream(streaming.reads_stream(spark, str(tmp_path / "in"), 2), index, 15, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(120)
