@@ -29,11 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, texts
+from .common import Memo, rows_of, table, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a worker remembers, twice at most: units, matches of the pattern and pairs of tokens.
-MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS = 300_000, 200_000, 250_000
+MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, DOCS = 150_000, 150_000, 150_000, 512
 
 
 class ByteBPE:
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         bpe = codec(ranks)
-        for batch in batches:
+        for batch in rows_of(batches, DOCS):
             ids = [bpe.encode(x) for x in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -176,7 +176,7 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches):
         bpe = codec(ranks)
-        for batch in batches:
+        for batch in rows_of(batches, DOCS):
             out = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import rows_of, table, texts
 
 UNKNOWN = "und"
-#: Rows that the model is fitted on at most, features, and bytes of text hashed at a time.
-SAMPLE, FEATURES, RUN = 3000, 1 << 12, 1 << 20
+#: Rows that the model is fitted on at most, features, bytes of text hashed at a time, and documents taken from a batch at a time.
+SAMPLE, FEATURES, RUN, DOCS = 3000, 1 << 12, 1 << 20, 512
 SIZES = (1, 2, 3, 4)
 GAPS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -175,17 +175,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep, then lang_pred and score, in Arrow batches. Only the text decides."""
     keep = docs.columns if keep is None else keep
-    kept = [F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(keep)]
-    source = docs.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kind = source.schema["row"].dataType.simpleString()
+    source = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(keep)], *([] if text_col in keep else [F.col(f"`{text_col}`").alias("text")]))
+    text = f"c{keep.index(text_col)}" if text_col in keep else "text"
+    kinds = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches):
-        for batch in batches:
-            out = [model.predict(x) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in out], pa.string()), pa.array([float(x) for _, x in out], pa.float64())], ["row", "lang_pred", "score"])
+        for batch in rows_of(batches, DOCS):
+            out = [model.predict(x) for x in texts(batch, text)]
+            found = [pa.array([x for x, _ in out], pa.string()), pa.array([float(x) for _, x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{i}") for i in range(len(keep))), *found], [*(f"c{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    done = source.mapInArrow(run, f"row {kind}, lang_pred string, score double")
-    return done.select(*[F.col(f"row.c{i}").alias(x) for i, x in enumerate(keep)], "lang_pred", "score")
+    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -197,8 +197,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, in which a language is found with a score above `least`."""
     names = docs.columns
-    found = predict(docs, train(docs, id_col, text_col, label_col), text_col)
-    own = found.toDF(*names, "__hx_lang", "__hx_score")
+    own = predict(docs, train(docs, id_col, text_col, label_col), text_col).toDF(*names, "__hx_lang", "__hx_score")
     return own.where((F.col("__hx_lang") != UNKNOWN) & (F.col("__hx_score") > least)).drop("__hx_lang", "__hx_score")
 
 

@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, lookup, partitions, table, texts, written
+from .common import UPPER, lookup, partitions, rows_of, table, texts, written
 
 WORD = re.compile("[^ \t-\r]+")
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Pivots of the tables over all 64 bits, and the most fingerprints in a cell before it is cut again.
 PIVOTS, CELL = 24, 1024
-#: Shingles hashed and counted at a time.
-RUN = 1 << 16
+#: Shingles hashed and counted at a time, and documents taken from a batch at a time.
+RUN, DOCS = 1 << 16, 512
 ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, h (a hash of the text) and f (the fingerprint as a signed long) of each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in rows_of(batches, DOCS):
             f = np.array([fingerprint(x) for x in texts(batch, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f.view(np.int64))], ["id", "h", "f"])
 
