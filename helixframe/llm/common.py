@@ -58,8 +58,9 @@ HEAVY = 1000
 def lookup(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
     """many joined to one on key, without a hot task. one: unique keys, and n, the rows of each key in many (total in all).
 
-    Heavy keys, fewer than HEAVY, are broadcast; the others meet in a sort-merge join. n is dropped."""
-    heavy = one.where(F.col("n") * HEAVY > F.lit(total)).limit(HEAVY)
+    As the n add up to total at most, heavy keys are fewer than HEAVY; they are broadcast, the others meet in a
+    sort-merge join. Each key is in one of the two branches, whatever n and total are. n is dropped."""
+    heavy = one.where(F.col("n") * HEAVY > F.lit(total))
     rest = one.where(F.col("n") * HEAVY <= F.lit(total))
     hot = many.join(F.broadcast(heavy), key)
     cold = many.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest.hint("merge"), key)

@@ -1,13 +1,14 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest. A batch of documents is reduced to one row a digest
-(map-side first, so a text that fills a third of the corpus costs a few rows a task), sort-merge anti-joined
-to the index, and what is new is appended. Decisions are read from the index afterwards. All of it is
-DataFrame work: no Python runs on executors.
+(map-side first, so a text that fills a third of the corpus costs a few rows a task), sort-merge joined
+to the index, and what is new is appended; for a digest that the index holds, the rows that the batch adds are
+appended as a count, and reading adds the counts up. Decisions are read from the index afterwards, for the digests
+of the batch alone. All of it is DataFrame work: no Python runs on executors.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only. Of
-equal texts the row with the largest id stays, unless an earlier batch already holds the text. Rows whose id
-is null stay only if no row of the text has an id. An empty batch leaves the index as it is. Rows that repeat
+equal texts the row with the largest id stays, unless an earlier batch already holds the text; a group's size is
+that of all batches so far. Rows whose id is null stay only if no row of the text has an id. An empty batch leaves the index as it is. Rows that repeat
 both id and text are one document: `decide` marks them all alike, `deduplicate` returns one of them. Other
 columns are passed through, whatever their names.
 """
@@ -27,7 +28,9 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id, keep_rows, n_rows) in the warehouse, bucketed and sorted by digest."""
+    """A persistent table (digest, keep_id, keep_rows, n_rows) in the warehouse, bucketed and sorted by digest.
+
+    A later batch's rows of a digest that is held have no keep_id and no keep_rows, only n_rows."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -35,30 +38,35 @@ class DigestIndex:
         self.buckets = buckets or max(8, partitions(spark))
 
     def read(self) -> DataFrame | None:
+        """One row a digest; None before the first batch."""
         if not self.spark.catalog.tableExists(self.name):
             return None
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).groupBy("digest").agg(*[f(x).alias(x) for f, x in ((F.max, "keep_id"), (F.max, "keep_rows"), (F.sum, "n_rows"))])
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def ingest(self, digests: DataFrame) -> int:
-        """Appends the digests that the index lacks. digests: id, digest. Returns the rows of the batch."""
+        """Appends the digests that the index lacks, and the counts of those that it holds. digests: id, digest.
+        Returns the rows of the batch."""
         each = digests.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("c"))
         groups = each.groupBy("digest").agg(F.max(F.struct("id", "c")).alias("top"), F.sum("c").alias("n_rows"))
         groups = groups.select("digest", F.col("top.id").alias("keep_id"), F.col("top.c").alias("keep_rows"), "n_rows")
         held = self.read()
         if held is not None:
-            groups = groups.join(held.select("digest").hint("merge"), "digest", "left_anti")
+            held = held.select("digest", F.lit(True).alias("held")).hint("merge")
+            first = lambda x: F.when(F.col("held").isNull(), F.col(x)).alias(x)
+            groups = groups.join(held, "digest", "left").select("digest", first("keep_id"), first("keep_rows"), "n_rows")
         groups.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
         return digests.count()
 
     def decide(self, digests: DataFrame, total: int) -> DataFrame:
         """id, digest -> id, digest, keep_id, keep_rows, n_rows of the index.
 
-        Heavy digests are joined by broadcast: fewer than HEAVY rows whatever the size of the corpus. The
-        others meet the index bucket by bucket in a sort-merge join."""
-        return lookup(digests, self.read().withColumn("n", F.col("n_rows")), "digest", total)
+        The index is reduced to the batch's digests, with the batch's own rows of each, which total counts: digests
+        heavy in the batch are joined by broadcast, the others in a sort-merge join."""
+        counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).hint("merge")
+        return lookup(digests, written(self.read().join(counts, "digest"), "digest-decisions"), "digest", total)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:

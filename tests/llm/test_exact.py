@@ -60,6 +60,21 @@ def test_index_persists_over_batches(spark):
     index.drop()
 
 
+def test_small_batch_on_a_larger_index(spark):
+    """Each of 1,500 held digests has over a thousandth of the batch's rows; the batch's rows must all be decided."""
+    index = D.DigestIndex(spark, buckets=4)
+    assert D.exact_dedup(docs(spark, [f"t{i}" for i in range(1500)]), index=index).count() == 1500
+    ids = [*range(10_000, 10_500)]
+    got = {r.doc_id: r for r in D.exact_dedup(docs(spark, [f"T{3 * i}" if i < 400 else f"new{i % 50}" for i in range(500)], ids), index=index).collect()}
+    assert sorted(got) == ids
+    for i in range(400):
+        assert (got[10_000 + i].keep_id, got[10_000 + i].group_size, got[10_000 + i].kept) == (3 * i, 2, False)
+    for i in range(400, 500):
+        assert (got[10_000 + i].keep_id, got[10_000 + i].group_size, got[10_000 + i].kept) == (10_450 + i % 50, 2, i >= 450)
+    assert index.read().count() == 1550
+    index.drop()
+
+
 def test_hot_text(spark):
     n = 3000
     rows = docs(spark, ["hot" if i % 3 == 0 else f"t{i % 1500}" for i in range(n)])
