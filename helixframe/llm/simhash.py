@@ -221,10 +221,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's, with all their columns.
+    """One document of each component of near copies, with all its columns; see resemblance."""
+    from . import resemblance
 
-    Rows are told apart by id and a hash of the text. Rows that repeat the staying id stay with it; where a component
-    holds no id, nothing can name the one that stays, and all its rows stay."""
-    gone = grouped(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__hx_id"), F.col("h").alias("__hx_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__hx_id")) & (F.xxhash64(F.col(text_col)) == F.col("__hx_h"))
-    return docs.join(gone, same, "left_anti")
+    return resemblance.near_dedup(docs, id_col, text_col)
