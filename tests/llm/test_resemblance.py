@@ -76,3 +76,11 @@ def test_a_failed_centre_does_not_hide_links():
     sets = [resemblance.np.array(x, "u8") for x in (a, a[:95], b, b[:95])]
     found = resemblance.cell_links(resemblance.np.arange(4), resemblance.np.zeros(4, bool), sets)
     assert sorted(map(sorted, found)) == [[0, 1], [2, 3]]
+
+
+def test_one_stays_whatever_its_ids_are(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    same, none = base.replace("w", "s"), base.replace("w", "n")
+    rows = [(7, same), (7, same + " a"), (7, same + " b"), (None, none), (None, none + " a"), (None, base), (9, base + " a")]
+    left = sorted((r.doc_id or -1, r.text) for r in simhash.near_dedup(frame(spark, rows)).collect())
+    assert [i for i, _ in left] == [-1, 7, 9] and left[0][1].startswith(none) and left[2][1] == base + " a"
