@@ -43,3 +43,15 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_exact_survivors_of_near_duplicates(spark):
+    """Clean texts that brute force shows to be unlinked all stay, and of each with its edited copies one does."""
+    words = [f"w{i}" for i in range(997)]
+    clean = [[words[(i * 101 + j * (i + 3)) % len(words)] for j in range(300)] for i in range(30)]
+    edited = [[f"edit{i}" if j in (60, 140, 220) else w for j, w in enumerate(clean[i])] for i in range(10)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in clean + edited]
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert linked == {(i, 30 + i) for i in range(10)}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s0", 0) for i, t in enumerate(clean + edited)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.stage_near_dedup(spark, docs, "").collect()) == [*range(30)]
