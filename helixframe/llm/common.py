@@ -91,13 +91,16 @@ def rows_of(batches: Iterable, size: int) -> Iterator:
 
 class Memo(dict):
     """What a worker remembers, in bounded memory: when `most` entries are full they become the old ones, and the
-    old ones before them go; entries that are asked for again move up."""
+    old ones before them go; entries that are asked for again move up. Keys longer than `longest` are not kept, so
+    neither the entries nor their bytes grow with the texts."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, longest: int | None = None):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.longest, self.old = most, longest, {}
 
     def keep(self, key, value):
+        if self.longest is not None and len(key) > self.longest:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

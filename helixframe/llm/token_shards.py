@@ -4,11 +4,12 @@ Each document is encoded whole, an end id is appended, and documents follow one
 A shard holds consecutive whole documents and is a wavelet matrix: one bit plane for each bit of an id, the
 most significant first, each plane sorted stably by the bits above it, with counts of ones before every block
 of 64 bits. Any token, the number of a token's occurrences in a range and the place of its k-th occurrence
-are read from the planes alone; no plain copy of the ids is kept. Planes are compressed each.
+are read from the planes alone; no plain copy of the ids is kept. Planes are compressed in blocks, and the file holds
+the ones before each block, so a look-up inflates the few blocks that it passes through and no others.
 
 Shards are rows of Parquet files in a folder that only Spark writes and reads, so it may be in any store that
 Spark reaches: bucket, seq (place in the bucket), local (ids of the bucket's shards before it), n_docs, n_tokens,
-blob. Documents get to buckets by quantiles of the id, taken from the id column alone; a bucket is sorted with
+blob. Documents get to buckets by quantiles of the id, taken from the id column alone; a bucket is a partition, sorted with
 spill and cut to shards as its rows pass, so memory is that of one shard, or of one document if that is longer.
 Only a count for each bucket meets in one place.
 
@@ -19,92 +20,141 @@ what the tokenizers library makes of them; an empty table gives an empty folder
 
 from __future__ import annotations
 
-import re
 import struct
+import unicodedata
 import zlib
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_path, partitions, rows_of, table, texts
+from .common import Memo, fresh_path, partitions, rows_of, table
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Ids in a shard before it is closed; entries that a worker remembers.
-SHARD, MEMO_UNITS, MEMO_PIECES, DOCS = 1 << 20, 100_000, 500_000, 1024
-#: Characters whose new units are asked for together, and units in one call of the library.
-GROUP, RUN = 1 << 21, 1 << 12
-MAGIC = b"WVM1"
+SHARD, MEMO_UNITS, MEMO_PIECES = 1 << 20, 100_000, 400_000
+#: Bytes of text whose units are looked up together, units in one call of the library, and the longest units that are remembered.
+GROUP, RUN, LONGEST = 1 << 23, 512, 64
+#: Buckets at most: a row each meets in one place.
+MOST_BUCKETS = 1 << 15
+MAGIC = b"WVM2"
+#: Bits of a compressed block, and blocks that a reader holds inflated.
+BLOCK, KEPT_BLOCKS = 1 << 16, 256
+
+
+class Planes:
+    """Bit planes of n bits in compressed blocks, and the ones before each block; blocks are inflated when asked for."""
+
+    def __init__(self, n: int, before: np.ndarray, blocks: list[list[bytes]]):
+        #: before: planes x (blocks + 1); blocks: of each plane.
+        self.n, self.before, self.blocks, self.ready = n, before, blocks, {}
+
+    def words(self, k: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block, and the ones of the plane before each."""
+        found = self.ready.get((k, block))
+        if found is None:
+            if len(self.ready) >= KEPT_BLOCKS:
+                self.ready.clear()
+            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blocks[k][block]), "<u8")
+            counts = np.cumsum(np.bitwise_count(own), dtype=np.int64)
+            found = self.ready[k, block] = own, self.before[k, block] + np.concatenate([[0], counts[:-1]])
+        return found
+
+    def bits(self, k: int) -> np.ndarray:
+        """A whole plane, as booleans."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        whole = np.frombuffer(b"".join([unpack(x) for x in self.blocks[k]]), np.uint8)
+        return np.unpackbits(whole, count=self.n, bitorder="little").view(bool)
+
+    def at(self, k: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of plane k at places (0 beyond the end), and the ones before them."""
+        bit, ones = np.zeros(len(places), bool), np.full(len(places), self.before[k, -1], np.int64)
+        block = np.where(places < self.n, places // BLOCK, -1)
+        for x in np.unique(block[block >= 0]).tolist():
+            own = np.flatnonzero(block == x)
+            words, counts = self.words(k, x)
+            at = places[own] - x * BLOCK
+            word, rest = words[at >> 6], (at & 63).astype(np.uint64)
+            bit[own] = word >> rest & np.uint64(1)
+            ones[own] = counts[at >> 6] + np.bitwise_count(word & ((np.uint64(1) << rest) - np.uint64(1)))
+        return bit, ones
+
+    def select(self, k: int, rank: np.ndarray, one: int) -> np.ndarray:
+        """The places of the rank-th (from 0) ones or zeros of plane k."""
+        before = self.before[k] if one else np.minimum(np.arange(len(self.before[k]), dtype=np.int64) * BLOCK, self.n) - self.before[k]
+        block = np.searchsorted(before, rank, side="right") - 1
+        out = np.empty(len(rank), np.int64)
+        for x in np.unique(block).tolist():
+            own = np.flatnonzero(block == x)
+            words, counts = self.words(k, x)
+            if not one:
+                words, counts = ~words, x * BLOCK + np.arange(len(words), dtype=np.int64) * 64 - counts
+            word = np.searchsorted(counts, rank[own], side="right") - 1
+            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = np.cumsum(bits, axis=1) == (rank[own] - counts[word] + 1)[:, None]
+            out[own] = x * BLOCK + word * 64 + np.argmax(inside, axis=1)
+        return out
 
 
 class WaveletMatrix:
     """Access, rank and select over a sequence of unsigned ids."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray]):
-        #: planes: bits packed in bytes, padded to whole 64-bit words; ones: ones before each word.
-        self.n, self.planes, self.ones = n, planes, ones
-        self.zeros = [n - int(x[-1]) for x in ones]
+    def __init__(self, planes: Planes):
+        self.planes, self.n, self.count_of_planes = planes, planes.n, len(planes.blocks)
+        self.zeros = (planes.n - planes.before[:, -1]).tolist() if self.count_of_planes else []
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        n, now = len(ids), np.asarray(ids, np.uint32)
-        bits = max(1, int(now.max()).bit_length()) if n else 1
-        planes, ones = [], []
+        n = len(ids)
+        bits = max(1, int(ids.max()).bit_length()) if n else 1
+        now = np.asarray(ids, np.uint16 if bits <= 16 else np.uint32)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        before, blocks = [], []
         for k in range(bits - 1, -1, -1):
-            bit = (now >> np.uint32(k) & np.uint32(1)).astype(bool)
-            plane, before = cls.plane(bit)
-            planes.append(plane)
-            ones.append(before)
-            now = np.concatenate([now[~bit], now[bit]])
-        return cls(n, planes, ones)
-
-    @staticmethod
-    def plane(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        packed = np.zeros((len(bit) + 63) // 64 * 8, np.uint8)
-        packed[: (len(bit) + 7) // 8] = np.packbits(bit, bitorder="little")
-        return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed.view("<u8")), dtype=np.int64)]).astype(np.uint32)
-
-    def bits_of(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-
-    def rank1(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane k before the places at."""
-        at = np.asarray(at, np.int64)
-        word, rest = at >> 6, (at & 63).astype(np.uint64)
-        inside = np.append(self.planes[k].view("<u8"), np.uint64(0))[word] & ((np.uint64(1) << rest) - np.uint64(1))
-        return self.ones[k][word].astype(np.int64) + np.bitwise_count(inside)
+            bit = (now & now.dtype.type(1 << k)) != 0
+            packed = np.zeros((n + 63) // 64 * 8, np.uint8)
+            packed[: (n + 7) // 8] = np.packbits(bit, bitorder="little")
+            cut = range(0, len(packed), BLOCK // 8)
+            before.append(np.concatenate([[0], np.cumsum([int(np.bitwise_count(packed[x : x + BLOCK // 8]).sum()) for x in cut], dtype=np.int64)]).astype(np.int64))
+            blocks.append([pack(packed[x : x + BLOCK // 8]) for x in cut])
+            up = np.empty_like(now)
+            np.compress(~bit, now, out=up[: n - before[-1][-1]])
+            np.compress(bit, now, out=up[n - before[-1][-1] :])
+            now = up
+        return cls(Planes(n, np.array(before), blocks))
 
     def access(self, at) -> np.ndarray:
         """The ids at given places."""
         at = np.asarray(at, np.int64)
         out = np.zeros(at.shape, np.uint32)
-        for k in range(len(self.planes)):
-            bit = self.planes[k][at >> 3] >> (at & 7).astype(np.uint8) & 1
-            one = self.rank1(k, at)
+        for k in range(self.count_of_planes):
+            bit, one = self.planes.at(k, at)
             at = np.where(bit, self.zeros[k] + one, at - one)
             out = out << np.uint32(1) | bit
         return out
 
     def all(self) -> np.ndarray:
         """The whole sequence, plane by plane from the last."""
-        now = np.zeros(self.n, np.uint32)
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit, up = self.bits_of(k), np.empty(self.n, np.uint32)
-            up[~bit] = now[: self.zeros[k]]
-            up[bit] = now[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
+        now = np.zeros(self.n, np.uint16 if self.count_of_planes <= 16 else np.uint32)
+        for k in range(self.count_of_planes - 1, -1, -1):
+            bit, up = self.planes.bits(k), np.empty_like(now)
+            up[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = now[self.zeros[k] :] | now.dtype.type(1 << (self.count_of_planes - 1 - k))
             now = up
         return now
 
     def span(self, token: int, start: int, stop: int) -> tuple[int, int]:
         """Where the token's occurrences in [start, stop) lie below the last plane."""
-        if token >> len(self.planes):
+        if token >> self.count_of_planes or start >= stop:
             return 0, 0
-        for k in range(len(self.planes)):
-            one = self.rank1(k, np.array([start, stop]))
-            if token >> (len(self.planes) - 1 - k) & 1:
+        for k in range(self.count_of_planes):
+            one = self.planes.at(k, np.array([start, stop]))[1]
+            if token >> (self.count_of_planes - 1 - k) & 1:
                 start, stop = (self.zeros[k] + one).tolist()
             else:
                 start, stop = start - int(one[0]), stop - int(one[1])
@@ -114,136 +164,242 @@ class WaveletMatrix:
         a, b = self.span(token, start, self.n if stop is None else stop)
         return b - a
 
-    def select1(self, k: int, rank: np.ndarray) -> np.ndarray:
-        """The place of the rank-th one (from 0) of plane k."""
-        word = np.searchsorted(self.ones[k], rank, side="right") - 1
-        bits = np.unpackbits(self.planes[k].reshape(-1, 8)[word], axis=1, bitorder="little")
-        return word * 64 + np.argmax(np.cumsum(bits, axis=1) == (rank - self.ones[k][word].astype(np.int64) + 1)[:, None], axis=1)
-
-    def select0(self, k: int, rank: np.ndarray) -> np.ndarray:
-        before = np.arange(len(self.ones[k]), dtype=np.int64) * 64 - self.ones[k]
-        word = np.searchsorted(before, rank, side="right") - 1
-        bits = 1 - np.unpackbits(self.planes[k].reshape(-1, 8)[word], axis=1, bitorder="little")
-        return word * 64 + np.argmax(np.cumsum(bits, axis=1) == (rank - before[word] + 1)[:, None], axis=1)
-
     def locate(self, token: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The places of all occurrences of the token in [start, stop), in ascending order."""
         a, b = self.span(token, start, self.n if stop is None else stop)
         at = np.arange(a, b, dtype=np.int64)
-        for k in range(len(self.planes) - 1, -1, -1):
+        for k in range(self.count_of_planes - 1, -1, -1):
             if not len(at):
                 break
-            one = token >> (len(self.planes) - 1 - k) & 1
-            at = self.select1(k, at - self.zeros[k]) if one else self.select0(k, at)
+            one = token >> (self.count_of_planes - 1 - k) & 1
+            at = self.planes.select(k, at - self.zeros[k] if one else at, one)
         return at
 
     def to_bytes(self) -> bytes:
-        """magic, n, planes, then for each plane the size of its compressed bits and its bits; counts are rebuilt on reading."""
-        pack = zstandard.ZstdCompressor(level=1).compress
-        bodies = [pack(x.tobytes()) for x in self.planes]
-        return b"".join([MAGIC, struct.pack("<QI", self.n, len(bodies)), *(struct.pack("<Q", len(x)) + x for x in bodies)])
+        """magic, n, planes, blocks of a plane; ones before each block of each plane; sizes of the blocks; the blocks."""
+        own = self.planes
+        count = len(own.blocks[0])
+        sizes = np.array([len(x) for plane in own.blocks for x in plane], "<u4")
+        return b"".join([MAGIC, struct.pack("<QII", self.n, len(own.blocks), count), own.before.astype("<u8").tobytes(), sizes.tobytes(), *(x for plane in own.blocks for x in plane)])
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> WaveletMatrix:
+        """Reads the counts; blocks stay compressed until a look-up passes through them."""
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        (n, count), at = struct.unpack_from("<QI", blob, 4), 16
-        planes, ones, unpack = [], [], zstandard.ZstdDecompressor().decompress
-        for _ in range(count):
-            (size,) = struct.unpack_from("<Q", blob, at)
-            plane = np.frombuffer(unpack(blob[at + 8 : at + 8 + size]), np.uint8)
-            planes.append(plane)
-            ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(plane.view("<u8")), dtype=np.int64)]).astype(np.uint32))
-            at += 8 + size
-        return cls(n, planes, ones)
+        (n, planes, count), at = struct.unpack_from("<QII", blob, 4), 20
+        before = np.frombuffer(blob, "<u8", planes * (count + 1), at).astype(np.int64).reshape(planes, count + 1)
+        at += 8 * planes * (count + 1)
+        sizes = np.frombuffer(blob, "<u4", planes * count, at)
+        ends = at + 4 * planes * count + np.cumsum(sizes, dtype=np.int64)
+        blocks = [blob[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        return cls(Planes(n, before, [blocks[k * count : (k + 1) * count] for k in range(planes)]))
+
+
+#: Kinds of characters for the pattern of the file: a run of letters is a piece, a digit is one, and a run of others.
+SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
+#: Characters below this may be plain: normal as they stand, with one lower case of as many bytes.
+PLAIN = 0x180
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind and the lower case of each character below PLAIN; what is not plain is FOREIGN."""
+    kind, lower = np.full(PLAIN, OTHER, np.uint8), np.arange(PLAIN, dtype=np.uint16)
+    for i in range(PLAIN):
+        c = chr(i)
+        lower[i] = ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < PLAIN else i
+        category = unicodedata.category(c)
+        if c in " \t\n\x0b\x0c\r":
+            kind[i] = SPACE
+        elif 0x7F < i <= 0xA0 or len(c.lower()) != 1 or unicodedata.normalize("NFC", c) != c:
+            kind[i] = FOREIGN  # among them the white space beyond ASCII
+        elif category[0] in "LN":
+            kind[i] = LETTER if category[0] == "L" else DIGIT
+    return kind, lower
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, asked once for each unit while it is remembered.
+    """Whole texts to ids by the tokenizers library, asked once for each piece while it is remembered.
 
-    The file's pre-tokenizer drops white space, and neither its normalizer nor its pattern reaches over a space,
-    so what stands between spaces is encoded on its own. A text of characters that normalizing only lower-cases is
-    cut by the pattern here, and the library is asked for its pieces; other texts are cut at spaces. A text that
-    holds a special token goes to the library whole."""
+    The file's normalizer lower-cases, composes and makes every white space a space, and its pattern drops white space
+    and cuts the rest to runs. Texts of plain characters (`kinds`) are lower-cased and cut here, many at once, by array
+    operations on their bytes; their distinct pieces are looked up, those that are new are asked for together, and the ids
+    are laid out. In other texts neither the normalizer nor the pattern reaches over a space, so the library is
+    asked for what stands between spaces. A text that holds a special token goes to the library whole."""
 
-    #: ASCII and Latin letters that are normal as they stand and have one lower case; white space beyond ASCII is left out.
-    SIMPLE = re.compile(r"[\x00-\x7f\xa1-\u012f\u0131-\u017f]*")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\ra-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
     WORD_END = "</w>"
 
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.units, self.pieces = Memo(MEMO_UNITS), Memo(MEMO_PIECES)
+        self.library, self.cutting = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # The same without what is done here: pieces are normal already, and are parted by spaces.
+        self.cutting.normalizer = None
+        self.cutting.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.units, self.pieces = Memo(MEMO_UNITS, LONGEST), Memo(MEMO_PIECES, LONGEST)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for x, i in vocabulary.items() if x.endswith(self.WORD_END)]] = True
         added = json.load(open(path))["added_tokens"]
         self.special = [x["content"] for x in added]
         self.between, self.between_id = added[-1]["content"], added[-1]["id"]
+        self.kinds, self.lower = kinds()
+
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def cut(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        whole, size = ids.tobytes(), self.kind.itemsize
+        return [whole[a:b] for a, b in zip((size * starts).tolist(), (size * stops).tolist())]
 
     def ask(self, wanted: list[str]) -> list[bytes]:
         """Ids of each string, by one call of the library over runs of them: a special token, which none of them holds,
         stands between, and its id parts the result."""
         out: list[bytes] = []
         for at in range(0, len(wanted), RUN):
-            ids = np.array(self.library.encode(self.between.join(wanted[at : at + RUN]), add_special_tokens=False).ids, "<u4")
+            ids = self.ids_of(self.between.join(wanted[at : at + RUN]))
             ends = np.flatnonzero(ids == self.between_id)
-            whole, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            out += [whole[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(whole)])]
+            out += self.cut(ids, np.r_[0, ends + 1], np.r_[ends, len(ids)])
         return out
 
     def ask_pieces(self, wanted: list[str]) -> list[bytes]:
-        """The same for pieces that the pattern leaves whole: the token that ends a word parts the result."""
+        """The same for pieces that are cut already: the token that ends a word parts the result."""
         out: list[bytes] = []
         for at in range(0, len(wanted), RUN):
             run = wanted[at : at + RUN]
-            ids = np.array(self.library.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.final[ids]) + 1)
-            if len(ends) != len(run):
-                out += self.ask(run)
-                continue
-            whole = ids.tobytes()
-            out += [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            ids = np.array(self.cutting.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            out += self.cut(ids, np.r_[0, ends[:-1]], ends) if len(ends) == len(run) else self.ask(run)
         return out
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for text in batch:
-            group.append(text)
-            size += len(text)
-            if size > GROUP:
-                out += self.encode_group(group)
-                group, size = [], 0
-        return out + self.encode_group(group)
-
-    def encode_group(self, batch: list[str]) -> list[bytes]:
-        """The same; what is new to the worker is asked for together."""
-        rows, pieces, units = [], {}, {}
-        for text in batch:
-            if any(x in text for x in self.special):
-                rows.append((np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), None, None))
-                continue
-            simple = self.SIMPLE.fullmatch(text)
-            parts, memo, wanted = (self.PIECES.findall(text.lower()), self.pieces, pieces) if simple else (text.split(" "), self.units, units)
-            found = list(map(memo.get, parts))
-            if None in found:
-                for i, x in enumerate(found):
+    def known(self, memo: Memo, wanted: list[str], ask) -> list[bytes]:
+        """Ids of each string, from the memory or asked for."""
+        found = list(map(memo.get, wanted))
+        if None in found:
+            new = []
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = x = memo[wanted[i]]
                     if x is None:
-                        found[i] = x = memo[parts[i]]
-                        if x is None:
-                            wanted[parts[i]] = None
-            rows.append((parts, found, wanted))
-        for memo, wanted, ask in ((self.pieces, pieces, self.ask_pieces), (self.units, units, self.ask)):
-            for x, ids in zip(list(wanted), ask(list(wanted))):
-                wanted[x] = memo.keep(x, ids)
-        return [a if b is None else b"".join(b if None not in b else [new[p] if x is None else x for p, x in zip(a, b)]) for a, b, new in rows]
+                        new.append(i)
+            for i, ids in zip(new, ask([wanted[i] for i in new])):
+                found[i] = memo.keep(wanted[i], ids)
+        return found
+
+    def plain(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of texts laid end to end, lower-cased; the kind of the character of each; the texts that are not plain."""
+        kind, low = self.kinds[np.minimum(data, 0x7F)], self.lower[:0x80].astype(np.uint8)[np.minimum(data, 0x7F)]
+        high = np.flatnonzero(data >= 0x80)
+        if not len(high):
+            return low, kind, np.zeros(0, np.int64)
+        low[high] = data[high]
+        lead = high[data[high] >= 0xC0]
+        code = (data[lead].astype(np.int64) & 0x3F) << 6 | data[np.minimum(lead + 1, len(data) - 1)] & 0x3F
+        own = (data[lead] < 0xE0) & (code < PLAIN)
+        of = np.where(own, self.kinds[np.where(own, code, 0)], FOREIGN)
+        odd = np.unique(np.searchsorted(rows, lead[of == FOREIGN], side="right") - 1)
+        lead, code, of = lead[own], code[own], of[own]
+        new = self.lower[code]
+        low[lead], low[lead + 1] = 0xC0 | new >> 6, 0x80 | new & 0x3F
+        kind[lead] = kind[lead + 1] = of
+        return low, kind, odd
+
+    def pieces_of(self, low: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where the pieces of plain texts, and the white space between them, start."""
+        first = np.empty(len(low), bool)
+        first[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=first[1:])
+        first |= (kind == DIGIT) & (low & 0xC0 != 0x80)  # a digit of two bytes is one piece
+        first[rows[:-1][rows[:-1] < len(low)]] = True
+        # An apostrophe that is a whole run takes the ending behind it.
+        mark = np.flatnonzero((low[:-1] == 0x27) & first[:-1] & first[1:] & (kind[1:] == LETTER))
+        mark = mark[~np.isin(mark + 1, rows)]
+        if len(mark):
+            stop = np.append(rows[1:], len(low))[np.searchsorted(rows, mark, side="right") - 1]
+            free = np.ones(len(mark), bool)
+            for x in CONTRACTIONS:
+                fits = free & (mark + len(x) < stop)
+                for k, c in enumerate(x.encode(), 1):
+                    fits[fits] = low[mark[fits] + k] == c
+                free &= ~fits
+                at = mark[fits]
+                first[at + 1] = False
+                after = at + len(x) + 1
+                first[after[after < len(low)]] = True
+        return np.flatnonzero(first)
+
+    def encode_column(self, column: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts end to end, each text closed by the id `last`, and where each text starts and the last one stops."""
+        tail = np.array([] if last is None else [last], self.kind)
+        parts = [self.encode_group(x, tail) for x in groups_of(column)]
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, self.kind)
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in parts]), dtype=np.int64)]) if parts else np.zeros(1, np.int64)
+
+    def encode_group(self, column: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, and how many each has."""
+        column = column.cast(pa.large_string())
+        rows = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]]
+        rows = rows - rows[0]
+        low, kind, odd = self.plain(data, rows)
+        whole = np.flatnonzero(reduce(pc.or_, [pc.match_substring(column, x) for x in self.special]).to_numpy(zero_copy_only=False))
+        odd = np.union1d(odd, whole)
+        for i in odd.tolist():  # these are white space here
+            kind[rows[i] : rows[i + 1]] = SPACE
+        starts = self.pieces_of(low, kind, rows) if len(low) else np.zeros(0, np.int64)
+        runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(low))), pa.py_buffer(low)])
+        white = kind[starts] == SPACE
+        pieces = runs.filter(pa.array(~white)).dictionary_encode()
+        found = self.known(self.pieces, [x.decode() for x in pieces.dictionary.to_pylist()], self.ask_pieces)
+        code = pieces.indices.to_numpy()
+        bounds = np.searchsorted(starts[~white], rows)
+        # What closes a text is the last of the distinct pieces; the other texts' ids follow, each in its row's place.
+        closing = len(found)
+        found.append(tail.tobytes())
+        for i in odd.tolist():
+            found.append(self.other(column[i].as_py(), i in whole) + tail.tobytes())
+        code = np.insert(code, bounds[1:], closing)
+        ends = bounds[1:] + np.arange(1, len(rows))
+        code[ends[odd] - 1] = closing + 1 + np.arange(len(odd))
+        sizes = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
+        many = sizes[code]
+        stops = np.cumsum(many)
+        small = np.int32 if max(int(sizes.sum()), int(stops[-1])) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(sizes) - sizes)[code] - stops + many).astype(small), many)
+        at += np.arange(len(at), dtype=small)
+        return np.frombuffer(b"".join(found), self.kind)[at], np.diff(stops[ends - 1], prepend=0)
+
+    def other(self, text: str, whole: bool) -> bytes:
+        """The ids of a text that is not plain."""
+        return self.ids_of(text).tobytes() if whole else b"".join(self.known(self.units, text.split(" "), self.ask))
+
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, at = self.encode_column(pa.array(batch, pa.string()))
+        return np.split(ids, at[1:-1]) if len(batch) else []
+
+
+def with_groups(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch cut to groups of rows, each with its texts."""
+    at = 0
+    for group in groups_of(batch.column(name)):
+        yield batch.slice(at, len(group)), group
+        at += len(group)
+
+
+def groups_of(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts cut to groups of about GROUP bytes, or one text if that is longer; null as empty."""
+    column = pc.fill_null(column, "")
+    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP, side="right")))
+        yield column.slice(at, stop - at)
+        at = stop
 
 
 @cache
@@ -254,9 +410,9 @@ def encoder(name: str) -> Encoder:
 
 
 def bounds(docs: DataFrame, id_col: str) -> list:
-    """Quantiles of the id that cut the documents into buckets; from the id column alone."""
-    count = min(4096, 4 * partitions(docs.sparkSession))
-    found = docs.agg(F.percentile_approx(F.col(id_col), [i / count for i in range(1, count)], 10 * count)).first()[0]
+    """Quantiles of the id that cut the documents into buckets, one a shuffle partition; from the id column alone."""
+    count = min(MOST_BUCKETS, partitions(docs.sparkSession))
+    found = docs.agg(F.percentile_approx(F.col(id_col), [i / count for i in range(1, count)], 8 * count)).first()[0]
     return sorted(set(found or []))
 
 
@@ -267,15 +423,17 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Writes the ids of docs to path, in ascending order of id_col, a long."""
     spark = docs.sparkSession
     cuts = np.array(bounds(docs, id_col), np.int64)
-    last = np.array([end], "<u4").tobytes()
+    kind = encoder(tokenizer).kind  # of the ids; the driver reads the vocabulary for it
+    size_of = kind.itemsize
 
     def encode(batches):
         own = encoder(tokenizer)
-        for batch in rows_of(batches, DOCS):
-            ids = [x + last for x in own.encode(texts(batch, "text"))]
+        for batch, group in ((x, g) for b in batches for x, g in with_groups(b, "text")):
+            ids, stops = own.encode_column(group, end)
+            whole = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(stops * own.kind.itemsize), pa.py_buffer(ids)])
             at = batch.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             bucket = np.where(batch.column("id").is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, at))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column("id"), pa.array(ids, pa.binary())], ["bucket", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column("id"), whole.cast(pa.binary())], ["bucket", "id", "ids"])
 
     def shards(batches):
         state = {"bucket": None, "seq": 0, "local": 0}
@@ -283,10 +441,10 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         size = 0
 
         def close():
-            ids = np.frombuffer(b"".join(x[1] for x in held), "<u4")
+            ids = np.frombuffer(b"".join(x[1] for x in held), kind)
             index = np.array([-1 if x[0] is None else x[0] for x in held], "<i8").tobytes()
             null = np.packbits([x[0] is None for x in held]).tobytes()
-            stops = np.cumsum([len(x[1]) // 4 for x in held]).astype("<i8").tobytes()
+            stops = np.cumsum([len(x[1]) // size_of for x in held]).astype("<i8").tobytes()
             head = zstandard.ZstdCompressor(level=1).compress(index + stops + null)
             blob = struct.pack("<Q", len(head)) + head + WaveletMatrix.build(ids).to_bytes()
             row = (state["bucket"], state["seq"], state["local"], len(held), len(ids), blob)
@@ -295,18 +453,18 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             for bucket, key, ids in zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
-                if held and (bucket != state["bucket"] or size + len(ids) // 4 > SHARD):
+                if held and (bucket != state["bucket"] or size + len(ids) // size_of > SHARD):
                     yield close()
                     held, size = [], 0
                 if bucket != state["bucket"]:
                     state.update(bucket=bucket, seq=0, local=0)
                 held.append((key, ids))
-                size += len(ids) // 4
+                size += len(ids) // size_of
         if held:
             yield close()
 
     encoded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "bucket int, id long, ids binary")
-    dealt = encoded.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "id", "ids")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "id", "ids")
     dealt.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
 
 
@@ -322,30 +480,31 @@ def open_shard(blob: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [None if x else int(k) for k, x in zip(keys, null)], stops, WaveletMatrix.from_bytes(blob[8 + size :])
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """A row a document of the folder: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit integers)."""
+def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """A row a document of the folder: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned
+    32-bit integers)."""
+    names = ["bucket", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
         for batch in rows_of(batches, 1):
             bucket, local, blob = (batch.column(k)[0].as_py() for k in ("bucket", "local", "blob"))
             keys, stops, matrix = open_shard(blob)
             whole, starts = memoryview(matrix.all().astype("<u4").tobytes()), np.concatenate([[0], stops[:-1]])
-            ids = [whole[4 * a : 4 * b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([bucket] * len(ids), pa.int32()), pa.array(keys, pa.int64()), pa.array(local + starts, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["bucket", "doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
-            yield from rows_of([out], 256)
+            ids = [whole[4 * a : 4 * b] for a, b in zip(starts.tolist(), stops.tolist())]
+            out = [pa.array([bucket] * len(ids), pa.int32()), pa.array(keys, pa.int64()), pa.array(local + starts, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+            if with_ids:
+                out.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+            yield from rows_of([pa.RecordBatch.from_arrays(out, names)], 256 if with_ids else 1 << 14)
 
     stored = spark.read.schema(SHARDS).parquet(path)
     sums = stored.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    # A row a bucket, of which there are 4096 at most.
+    # A row a bucket, of which there are MOST_BUCKETS at most.
     base = sums.select("bucket", (F.sum("n").over(Window.orderBy(F.col("bucket"))) - F.col("n")).alias("base"))
-    found = stored.select("bucket", "local", "blob").mapInArrow(run, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    return found.join(F.broadcast(base), "bucket").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    found = stored.select("bucket", "local", "blob").mapInArrow(run, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return found.join(F.broadcast(base), "bucket").select("doc_id", (F.col("base") + F.col("start")).alias("start"), *names[3:])
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path)
-    return read_shards(spark, path).drop("ids")
+    return read_shards(spark, path, with_ids=False)

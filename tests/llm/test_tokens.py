@@ -65,7 +65,7 @@ def test_long_sequences_by_agenda_equal_those_by_rounds(monkeypatch):
 
 def test_word_ids_equal_the_library():
     own, library = token_shards.encoder(token_shards.TOKENIZER), words_encoder()
-    assert own.encode(TEXTS) == [pack(library.encode(t, add_special_tokens=False).ids) for t in TEXTS]
+    assert [x.tolist() for x in own.encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
 @settings(max_examples=150, deadline=None)
@@ -73,7 +73,7 @@ def test_word_ids_equal_the_library():
 def test_any_text(text):
     assert byte_bpe.codec(byte_bpe.RANKS).encode(text) == pack(tiktoken_encoder_once().encode_ordinary(text))
     assert token_count.counter(token_count.MODEL).count([text]) == [len(pieces_once().encode(text))]
-    assert token_shards.encoder(token_shards.TOKENIZER).encode([text]) == [pack(words_once().encode(text, add_special_tokens=False).ids)]
+    assert [x.tolist() for x in token_shards.encoder(token_shards.TOKENIZER).encode([text])] == [words_once().encode(text, add_special_tokens=False).ids]
 
 
 _kept = {}
@@ -99,6 +99,27 @@ def test_memory_is_bounded_and_keeps_what_is_asked_again():
     assert len(memo) + len(memo.old) <= 6 and memo[99] is None
 
 
+def test_texts_without_spaces_leave_nothing_in_memory():
+    texts = ["".join(random.Random(i).choices("abcdé日本語", k=3000)) for i in range(40)]
+    for memo, work in (
+        (token_shards.encoder(token_shards.TOKENIZER).units, token_shards.encoder(token_shards.TOKENIZER).encode),
+        (token_shards.encoder(token_shards.TOKENIZER).pieces, token_shards.encoder(token_shards.TOKENIZER).encode),
+    ):
+        work(texts)
+        assert max((len(x) for held in (memo, memo.old) for x in held), default=0) <= token_shards.LONGEST
+
+
+def test_shards_are_looked_up_without_inflating_all(monkeypatch):
+    monkeypatch.setattr(token_shards, "BLOCK", 1 << 10)
+    ids = np.random.default_rng(5).integers(0, 49408, 40_000)
+    w = token_shards.WaveletMatrix.from_bytes(token_shards.WaveletMatrix.build(ids).to_bytes())
+    assert not w.planes.ready
+    assert w.access(np.array([0, 777, 39_999])).tolist() == ids[[0, 777, 39_999]].tolist()
+    assert len(w.planes.ready) <= 3 * 16 < 16 * 40
+    token = int(ids[123])
+    assert w.count(token) == (ids == token).sum() and w.locate(token).tolist() == np.flatnonzero(ids == token).tolist()
+
+
 def rows(spark):
     texts = [None, "", "Hello  World", "long " * 50_000, "é日"]
     return texts, spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(2, "Hello  World", "clash", "clash"), (None, "null id", "", "")], DOCS)
