@@ -58,13 +58,17 @@ HEAVY = 1000
 def lookup(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
     """many joined to one on key, without a hot task. one: unique keys, and n, the rows of each key in many (total in all).
 
-    As the n add up to total at most, heavy keys are fewer than HEAVY; they are broadcast, the others meet in a
-    sort-merge join. Each key is in one of the two branches, whatever n and total are. n is dropped."""
-    heavy = one.where(F.col("n") * HEAVY > F.lit(total))
-    rest = one.where(F.col("n") * HEAVY <= F.lit(total))
-    hot = many.join(F.broadcast(heavy), key)
-    cold = many.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest.hint("merge"), key)
-    return hot.unionByName(cold).drop("n")
+    As the n add up to total at most, heavy keys are fewer than HEAVY: the driver holds them, and their rows of one are
+    broadcast. The others meet in a sort-merge join. Each key is in one of the two branches; n that add up to more
+    than total are an error. n is dropped."""
+    found = one.where((F.col("n") * HEAVY > F.lit(total)) & F.col(key).isNotNull()).select(key).limit(HEAVY + 1).collect()
+    if len(found) > HEAVY:
+        raise ValueError("the rows of the keys add up to more than the total")
+    if not found:
+        return many.join(one.hint("merge"), key).drop("n")
+    heavy = F.col(key).isin([r[0] for r in found])
+    hot = many.where(heavy).join(F.broadcast(one.where(heavy)), key)
+    return hot.unionByName(many.where(~heavy).join(one.where(~heavy).hint("merge"), key)).drop("n")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,8 +12,7 @@ coordinates as the key of an equi-join: a cell. Within a cell the tables over al
 survivors are verified, and the cell returns the edges of a spanning forest, at most one a fingerprint, never
 the pairs. A cell with more than `CELL` fingerprints is cut
 again, exactly: the bits outside its block still differ in at most BITS places, so they are cut into BITS + 1
-blocks in turn, and so on until cells are small or the bits left are at most BITS, when all of a cell link and
-it needs a star only. Nothing is capped or dropped.
+blocks in turn, and so on until cells are small, as those with few free bits are. Nothing is capped or dropped.
 
 Components come from alternating large-star and small-star steps over those edges, each step written to the
 shared folder.
@@ -44,6 +43,14 @@ RUN, DOCS = 1 << 16, 512
 ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
+def majority(h: np.ndarray) -> int:
+    """The word of the bits that are set in over half of 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), RUN):
+        ones += np.unpackbits(h[at : at + RUN].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """The SimHash of a whole text; a bit is set if it is in over half of the shingles' hashes."""
     words = [x.encode() for x in WORD.findall(text.translate(ASCII_LOWER) if not text.isascii() else text.lower())]
@@ -56,11 +63,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     ends = np.cumsum([len(x) + 1 for x in words])
     starts = [0, *ends[: count - 1].tolist()]
     stops = (ends[size - 1 :] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, count, RUN):
-        h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[at : at + RUN], stops[at : at + RUN])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(whole[a:b], SEED) for a, b in zip(starts, stops)], "<u8"))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
