@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import Memo, rows_of, table, texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries that a worker remembers, twice at most: units, matches of the pattern and pairs of tokens.
-MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, DOCS = 150_000, 150_000, 150_000, 512
+#: Entries that a worker remembers, twice at most: units, matches of the pattern and pairs of tokens; the most characters of the first two.
+MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, LONGEST, DOCS = 150_000, 150_000, 150_000, 64, 512
 
 
 class ByteBPE:
@@ -57,7 +57,7 @@ class ByteBPE:
         # Python counts U+001C to U+001F as white space, the Unicode property does not.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.pairs = Memo(MEMO_PAIRS)
-        self.units, self.pieces = Memo(MEMO_UNITS), Memo(MEMO_PIECES)
+        self.units, self.pieces = Memo(MEMO_UNITS, LONGEST), Memo(MEMO_PIECES, LONGEST)
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges themselves, for short pieces: the lowest rank first, the leftmost of equal ones."""

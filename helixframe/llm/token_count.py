@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Memo, rows_of, table, texts
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
-MEMO_CHUNKS, LONG, DOCS = 700_000, 1024, 512
+MEMO_CHUNKS, LONGEST, LONG, DOCS = 700_000, 64, 1024, 512
 SPACE = "▁"
 CHUNK = re.compile(" +[^ ]*")
 NONE = np.iinfo(np.int64).max
@@ -58,7 +58,7 @@ class PieceCounter:
         chars = sorted((ord(x), i) for x, i in number.items() if len(x) == 1)
         self.chars, self.char_ids = (np.array(x, np.int64) for x in zip(*chars))
         self.beside = np.array(sorted({ord(a) << 21 | ord(b) for x in pieces for a, b in zip(x, x[1:])}), np.int64)
-        self.memo = Memo(MEMO_CHUNKS)
+        self.memo = Memo(MEMO_CHUNKS, LONGEST)
 
     def look(self, table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
