@@ -147,28 +147,31 @@ def codec(name: str) -> ByteBPE:
     return ByteBPE(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """A row a document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), ids."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, with_ids: bool = True) -> DataFrame:
+    """A row a document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids) and, if asked for,
+    ids. Of equal texts that follow one another, as the copies that mixing makes do, one is encoded."""
+
+    def work(bpe: ByteBPE, text: str) -> tuple[bytes, str, str]:
+        ids = bpe.encode(text)
+        return ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
     def run(batches):
-        bpe = codec(ranks)
+        bpe, last, held = codec(ranks), None, None
         for batch in rows_of(batches, DOCS):
-            ids = [bpe.encode(x) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
-                    pa.array(ids, pa.binary()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
-            )
+            out = []
+            for text in texts(batch, "text"):
+                if text != last:
+                    last, held = text, work(bpe, text)
+                out.append(held)
+            found = [pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
+            if with_ids:
+                found.append(pa.array([x[0] for x in out], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -184,4 +187,4 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
