@@ -35,7 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `made` lists those of the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The paths of the shared folder that this session has made and not removed."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_helixframe_made"):
+        sc._helixframe_made = []
+    return sc._helixframe_made
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,26 +60,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in made(spark):
+        made(spark).remove(path)
+
+
+def drawn(id_col: Column, share: Column) -> Column:
+    """Whether a row is in a sample of a share of the ids, by a hash of all 64 bits: no share is too small to draw from."""
+    # Hashes lie evenly in [-2 ** 63, 2 ** 63).
+    return F.xxhash64(id_col.cast("string")).cast("double") < share * F.lit(2.0**64) - F.lit(2.0**63)
 
 
 #: A key with more than 1 / HEAVY of the rows is heavy; there are fewer than HEAVY of them, however large the data.
 HEAVY = 1000
 
 
-def lookup(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+def lookup(many: DataFrame, one: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """many joined to one on key, without a hot task. one: unique keys, and n, the rows of each key in many (total in all).
 
     As the n add up to total at most, heavy keys are fewer than HEAVY: the driver holds them, and their rows of one are
     broadcast. The others meet in a sort-merge join. Each key is in one of the two branches; n that add up to more
     than total are an error. n is dropped."""
-    found = one.where((F.col("n") * HEAVY > F.lit(total)) & F.col(key).isNotNull()).select(key).limit(HEAVY + 1).collect()
+    found = one.where((F.col(n) * HEAVY > F.lit(total)) & F.col(key).isNotNull()).select(key).limit(HEAVY + 1).collect()
     if len(found) > HEAVY:
         raise ValueError("the rows of the keys add up to more than the total")
     if not found:
-        return many.join(one.hint("merge"), key).drop("n")
+        return many.join(one.hint("merge"), key).drop(n)
     heavy = F.col(key).isin([r[0] for r in found])
     hot = many.where(heavy).join(F.broadcast(one.where(heavy)), key)
-    return hot.unionByName(many.where(~heavy).join(one.where(~heavy).hint("merge"), key)).drop("n")
+    return hot.unionByName(many.where(~heavy).join(one.where(~heavy).hint("merge"), key)).drop(n)
 
 
 def partitions(spark: SparkSession) -> int:

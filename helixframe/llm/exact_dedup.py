@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch of documents is reduced to one row a digest
+The index is a table bucketed and sorted by digest, in a folder that later sessions open again. A batch of documents is reduced to one row a digest
 (map-side first, so a text that fills a third of the corpus costs a few rows a task), sort-merge joined
 to the index, and what is new is appended; for a digest that the index holds, the rows that the batch adds are
 appended as a count, and reading adds the counts up. Decisions are read from the index afterwards, for the digests
@@ -15,12 +15,12 @@ columns are passed through, whatever their names.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup, partitions, table, written
+from .common import ascii_lower, fresh_path, lookup, partitions, remove, table, written
 
 
 def text_digest(text: Column) -> Column:
@@ -28,14 +28,28 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id, keep_rows, n_rows) in the warehouse, bucketed and sorted by digest.
+    """A persistent table (digest, keep_id, keep_rows, n_rows), bucketed and sorted by digest, at a path that a later
+    session opens again. Without a path it is a new one in the shared folder.
 
     A later batch's rows of a digest that is held have no keep_id and no keep_rows, only n_rows."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or max(8, partitions(spark))
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, (path or fresh_path(spark, "digest-index")).rstrip("/")
+        self.name = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        # The folder's name says how many buckets there are; one that holds no data yet counts for nothing.
+        held = [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+        held = [int(x.removeprefix("buckets-")) for x in held if x.startswith("buckets-")]
+        held = [n for n in held if any(x.getPath().getName().endswith(".parquet") for x in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets-{n}")))]
+        self.buckets = held[0] if held else buckets or max(8, partitions(spark))
+        if held and not spark.catalog.tableExists(self.name):
+            columns = spark.read.parquet(self.folder).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+            spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/buckets-{self.buckets}"
 
     def read(self) -> DataFrame | None:
         """One row a digest; None before the first batch."""
@@ -44,7 +58,9 @@ class DigestIndex:
         return self.spark.table(self.name).groupBy("digest").agg(*[f(x).alias(x) for f, x in ((F.max, "keep_id"), (F.max, "keep_rows"), (F.sum, "n_rows"))])
 
     def drop(self) -> None:
+        """Removes the table and its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
     def ingest(self, digests: DataFrame) -> int:
         """Appends the digests that the index lacks, and the counts of those that it holds. digests: id, digest.
@@ -57,7 +73,7 @@ class DigestIndex:
             held = held.select("digest", F.lit(True).alias("held")).hint("merge")
             first = lambda x: F.when(F.col("held").isNull(), F.col(x)).alias(x)
             groups = groups.join(held, "digest", "left").select("digest", first("keep_id"), first("keep_rows"), "n_rows")
-        groups.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        groups.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", self.folder).saveAsTable(self.name)
         return digests.count()
 
     def decide(self, digests: DataFrame, total: int) -> DataFrame:
@@ -71,10 +87,12 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """One row a document: id_col, keep_id, group_size, kept, text_sha256."""
-    index = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession)
     digests = written(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests")
-    total = index.ingest(digests)
-    return index.decide(digests, total).select(
+    decided = own.decide(digests, own.ingest(digests))
+    if index is None:
+        own.drop()  # the decisions are written
+    return decided.select(
         F.col("id").alias(id_col),
         "keep_id",
         F.col("n_rows").cast("long").alias("group_size"),
@@ -88,10 +106,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are shuffled once, by (digest, id): an id names one document, so no text is a hot key. Only if some
     row that stays is repeated whole are the staying rows shuffled again, to keep one of each."""
-    index = index or DigestIndex(docs.sparkSession)
+    at = index or DigestIndex(docs.sparkSession)
     digests = written(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")), "digests")
-    index.ingest(digests)
-    held = index.read().select(F.col("digest").alias("__hx_digest"), F.col("keep_id").alias("__hx_keep"), F.col("keep_rows").alias("__hx_rows"))
+    at.ingest(digests)
+    held = at.read().select(F.col("digest").alias("__hx_digest"), F.col("keep_id").alias("__hx_keep"), F.col("keep_rows").alias("__hx_rows"))
+    if index is None:
+        held = written(held, "digests-kept")
+        at.drop()
     own = docs.withColumn("__hx_own", text_digest(F.col(text_col)))
     on = (F.col("__hx_own") == F.col("__hx_digest")) & F.col(id_col).eqNullSafe(F.col("__hx_keep"))
     staying = own.join(held, on, "left_semi")
