@@ -5,7 +5,8 @@ against the others picks the family; within it, machines for each pair of langua
 table of language codes; a language that the table lacks joins the family whose texts are nearest.
 
 The model is fitted on a bounded sample of labelled rows: at most `SAMPLE` of them, drawn by a hash of the id
-in equal numbers from each language. Everything else runs over all rows and whole texts.
+in equal numbers from each language; of more than `SAMPLE` / `EACH` languages the most frequent are learnt, others never
+predicted. Everything else runs over all rows and whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled row to learn
 from every row is `und`; with one language every text with a letter gets it. Rows with a null id are never
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, table, texts
+from .common import drawn, rows_of, table, texts
 
 UNKNOWN = "und"
 #: Rows that the model is fitted on at most, features, bytes of text hashed at a time, and documents taken from a batch at a time.
 SAMPLE, FEATURES, RUN, DOCS = 3000, 1 << 12, 1 << 20, 512
+#: The fewest rows of the sample that a language is learnt from, where it has as many.
+EACH = 8
 SIZES = (1, 2, 3, 4)
 GAPS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -156,20 +159,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     # A row a language, and at most as many languages as rows that may be learnt from.
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most // 8).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most // EACH).collect()}
     if not counts:
         return fit([])
     each = most / len(counts)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(1e6 * min(1.0, each / n)))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.coalesce(share[F.col("label")], F.lit(0)))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
+    sample = rows.where(drawn(F.col("id"), F.coalesce(share[F.col("label")], F.lit(0.0))))
 
     def run(batches):
         for batch in rows_of(batches, 64):
             own = [(k, features(t).astype(np.float16).tobytes()) for k, t in zip(batch.column("label").to_pylist(), texts(batch, "text")) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([v for _, v in own], pa.binary())], ["label", "x"])
 
-    drawn = drawn.select("label", "text").mapInArrow(run, "label string, x binary").limit(2 * most)
-    return fit([(r[0], np.frombuffer(r[1], np.float16)) for r in drawn.toLocalIterator()])
+    sample = sample.select("label", "text").mapInArrow(run, "label string, x binary").limit(2 * most)
+    return fit([(r[0], np.frombuffer(r[1], np.float16)) for r in sample.toLocalIterator()])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
