@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, rows_of, table, texts
+from .common import Memo, drawn, rows_of, table, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 HEADS = (4, 5, 6)
-SAMPLE, BITS, MARK, GRADES, MEMO_WORDS = 5000, 20, 8.0, 4, 400_000
+SAMPLE, BITS, MARK, GRADES, MEMO_WORDS, LONGEST = 5000, 20, 8.0, 4, 400_000, 64
 #: Features kept: one to two rows, within these bounds.
 CHOSEN = 300, 1000
 
@@ -56,7 +56,7 @@ class Severity:
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
-        self.memo = Memo(MEMO_WORDS)
+        self.memo = Memo(MEMO_WORDS, LONGEST)
 
     def __reduce__(self):
         return Severity, (self.number, self.weights, self.thresholds)
@@ -110,32 +110,31 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, value: np.ndarray, grade: np.nd
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Severity:
-    """rows: toxic 0 or 1, hashed features, counts. prior: the share of toxic rows among all labelled ones.
-    rows is emptied on the way, to hold them once."""
-    toxic = np.array([r[0] for r in rows])
-    if len(set(toxic.tolist())) < 2:
-        return Severity()
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-    key, count, size = np.concatenate([r[1] for r in rows]).view(np.int32), np.concatenate([r[2] for r in rows]).astype(np.float32), len(rows)
-    rows.clear()
-    bad, good = (np.bincount(key[toxic[row] == k], minlength=1 << BITS).astype(float) for k in (1, 0))
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    p, both = (bad + good) / size, bad + good
-    z = np.abs(bad / n1 - good / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    often = np.flatnonzero(both >= 3)
-    chosen = often[np.argsort(-z[often], kind="stable")[: min(CHOSEN[1], max(CHOSEN[0], size // 2))]]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+def features_of(rows: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """rows: toxic, keys. The hashed features that the model keeps, those that tell the two kinds apart best, and those
+    that mark toxic rows. Counted by the cluster; at most CHOSEN and 2 ** BITS keys reach the driver."""
+    each = rows.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("toxic").cast("double").alias("bad"), F.sum(1 - F.col("toxic")).cast("double").alias("good"))
+    bad, good, share = F.col("bad"), F.col("good"), (F.col("bad") + F.col("good")) / (n1 + n0)
+    z = F.abs(bad / n1 - good / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     rate = (bad + 0.5) / n1 / ((good + 0.5) / n0)
-    mark = (rate >= MARK) & (bad >= 3)
-    marks = np.bincount(row[mark[key]], count[mark[key]], size)
+    each = written(each.where("bad + good >= 3").select("key", z.alias("z"), ((rate >= MARK) & (bad >= 3)).alias("mark")), "toxicity-features")
+    most = min(CHOSEN[1], max(CHOSEN[0], (n1 + n0) // 2))
+    chosen = [r[0] for r in each.orderBy(F.desc("z"), "key").limit(most).collect()]
+    return np.array(chosen, np.int64), np.array([r[0] for r in each.where("mark").select("key").toLocalIterator()], np.int64)
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], chosen: np.ndarray, prior: float) -> Severity:
+    """rows: toxic 0 or 1, places of kept features, their counts, and how often the text holds marks. chosen: the features'
+    keys. prior: the share of toxic rows among all labelled ones."""
+    toxic, marks = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    at, count = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(float)
+    n1, n0 = toxic.sum(), (1 - toxic).sum()
     cuts = np.quantile(marks[toxic == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grade = np.where(toxic == 1, 1 + (marks[:, None] > cuts[None, :]).sum(axis=1), 0)
     grade = np.searchsorted(np.unique(grade), grade)  # without grades that no row has
-    keep = place[key] >= 0
     weight = np.where(toxic == 1, prior / n1, (1 - prior) / n0)
-    w, t = fit_ordinal(place[key[keep]], row[keep], np.log1p(count[keep]), grade, weight, len(chosen))
+    w, t = fit_ordinal(at, row, np.log1p(count), grade, weight, len(chosen))
     return Severity({int(k): i for i, k in enumerate(chosen)}, w, t)
 
 
@@ -145,22 +144,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r[0]: r[1] for r in named.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return Severity()
-    share = {k: int(1e6 * min(1.0, most / 2 / n)) for k, n in counts.items()}
-    hit = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    drawn = named.where(hit).limit(2 * most)  # bounded, so it may be broadcast
-
-    def run(batches):
-        for batch in rows_of(batches, 256):
-            own = [counts_of(x, keys_of) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([np.fromiter(x.keys(), "<u4", len(x)).tobytes() for x in own], pa.binary()), pa.array([np.fromiter(x.values(), "<u4", len(x)).tobytes() for x in own], pa.binary())],
-                ["toxic", "keys", "counts"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("toxic", "text").mapInArrow(run, "toxic int, keys binary, counts binary").limit(2 * most)
-    found = [(r[0], np.frombuffer(r[1], "<u4"), np.frombuffer(r[2], "<u4")) for r in rows.toLocalIterator()]
-    found.sort(key=lambda r: (r[0], r[1].tobytes()))
-    return fit(found, counts[1] / (counts[0] + counts[1])) if found else Severity()
+    share = {k: min(1.0, most / 2 / n) for k, n in counts.items()}
+    sample = named.where(drawn(F.col("id"), F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))).limit(2 * most)  # bounded, so it may be broadcast
+
+    def count(batches):
+        for batch in rows_of(batches, 64):
+            own = [sorted(counts_of(x, keys_of).items()) for x in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([[x[k] for x in r] for r in own], pa.list_(pa.int32())) for k in (0, 1))], ["toxic", "keys", "counts"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("toxic", "text")
+    rows = written(rows.mapInArrow(count, "toxic int, keys array<int>, counts array<int>").limit(2 * most), "toxicity-sample")
+    size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return Severity()
+    chosen, marks = features_of(rows, size[1], size[0])
+    place, mark = np.full(1 << BITS, -1, np.int32), np.zeros(1 << BITS, bool)
+    place[chosen], mark[marks] = np.arange(len(chosen)), True
+
+    def keep(batches):
+        for batch in rows_of(batches, 64):
+            out = []
+            for keys, many in zip(*(batch.column(k).to_pylist() for k in ("keys", "counts"))):
+                keys, many = np.array(keys, np.int64), np.array(many, np.int64)
+                own = place[keys] >= 0
+                out.append((place[keys[own]].tobytes(), many[own].astype(np.int32).tobytes(), int(many[mark[keys]].sum())))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], ["toxic", "at", "counts", "marks"])
+
+    kept = rows.mapInArrow(keep, "toxic int, at binary, counts binary, marks long")
+    found = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in kept.toLocalIterator()]
+    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    return fit(found, chosen, counts[1] / (counts[0] + counts[1]))
 
 
 def severity(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
