@@ -15,7 +15,8 @@ vectors is many tasks' work. What meets in a task is a block of each; best lists
 Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, as neither queries nor candidates; a row with the query's id is not its
 neighbour; ties go to the smaller id; a query always meets lists that hold at least `LEAST` times k vectors, or
-all lists; repeated rows are candidates each; an empty table gives an empty result; other columns are never read.
+all lists; repeated rows are candidates each, and one query if their vectors are the same, else a query each under the
+same query_id; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import drawn, partitions, table, written
 
 SAMPLE, MOST_LISTS, BLOCK, QUERIES, LEAST = 16384, 4096, 8192, 2048, 8
 RECALL, TRIALS = 0.97, 256
@@ -87,9 +88,8 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, rng: np.random.Generat
 def build(vectors: DataFrame) -> Index | None:
     """vectors: id, v. None if there are none."""
     n = vectors.count()
-    share = int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
-    drawn = vectors.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000)) < max(1, share)).select("v").limit(SAMPLE)
-    rows = [np.array(r[0], np.float64) for r in drawn.toLocalIterator()] or [np.array(r[0], np.float64) for r in vectors.select("v").limit(SAMPLE).toLocalIterator()]
+    sample = vectors.where(drawn(F.col("id"), F.lit(min(1.0, SAMPLE / max(1, n))))).select("v").limit(SAMPLE)
+    rows = [np.array(r[0], np.float64) for r in sample.toLocalIterator()] or [np.array(r[0], np.float64) for r in vectors.select("v").limit(SAMPLE).toLocalIterator()]
     if not rows:
         return None
     sizes = np.bincount([len(r) for r in rows])
@@ -110,9 +110,6 @@ def codes(x: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> tuple[np
     return np.packbits(unit > 0, axis=1), length, np.abs(unit).sum(axis=1) / math.sqrt(x.shape[1])
 
 
-CODED = "list int, block int, id long, v array<double>, code binary, length double, inner double"
-
-
 def encode(vectors: DataFrame, index: Index) -> DataFrame:
     """A row a vector: its list, code and scalars."""
 
@@ -126,7 +123,7 @@ def encode(vectors: DataFrame, index: Index) -> DataFrame:
                 ["list", "id", "v", "code", "length", "inner"],
             )
 
-    return vectors.mapInArrow(run, CODED.replace("block int, ", ""))
+    return vectors.mapInArrow(run, f"list int, id long, v {vectors.schema['v'].dataType.simpleString()}, code binary, length double, inner double")
 
 
 def probe(queries: DataFrame, index: Index, held: np.ndarray, k: int) -> DataFrame:
@@ -140,9 +137,9 @@ def probe(queries: DataFrame, index: Index, held: np.ndarray, k: int) -> DataFra
             count = np.maximum(index.probes, enough.sum(axis=1) + 1).clip(max=order.shape[1])
             at = np.repeat(np.arange(len(v)), count)
             lists = np.concatenate([o[:c] for o, c in zip(order, count)]) if len(v) else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at))], ["list", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(batch.column(x).take(pa.array(at)) for x in ("id", "key", "v"))], ["list", "id", "key", "v"])
 
-    return queries.mapInArrow(run, "list int, id long, v array<double>")
+    return queries.mapInArrow(run, f"list int, id long, key long, v {queries.schema['v'].dataType.simpleString()}")
 
 
 def best(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -151,7 +148,8 @@ def best(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(q: pd.DataFrame, c: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
     """The k best candidates of a block for each of its queries."""
-    empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    names = ["query_id", "key", "vec_id", "score"]
+    empty = pd.DataFrame({n: np.empty(0, np.float64 if n == "score" else np.int64) for n in names})
     if not len(q) or not len(c):
         return empty
     d, centroid = index.dimensions, index.centroids[int(c["list"].iloc[0])]
@@ -169,22 +167,23 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, index: Index, k: int) -> pd.D
         product = (signs @ turned[span].T.astype(np.float32)).astype(np.float64) / inner[:, None]  # of residuals, but for the candidate's length
         middle = length[:, None] ** 2 + far[None, span] ** 2 - 2 * length[:, None] * product
         slack = 2 * (length * error)[:, None] * far[None, span] + 1e-6 * (1 + np.abs(middle))
-        for i, query in enumerate(q["id"].to_numpy()[span].tolist()):
+        for i, (query, key) in enumerate(zip(q["id"].to_numpy()[span].tolist(), q["key"].to_numpy()[span].tolist())):
             other = ids != query
             upper = (middle[:, i] + slack[:, i])[other]
             limit = np.partition(upper, k - 1)[k - 1] if len(upper) > k else np.inf
             chosen = np.flatnonzero(other & (middle[:, i] - slack[:, i] <= limit))
             exact = np.sqrt(((vectors[chosen] - queries[lo + i]) ** 2).sum(axis=1))
             top = best(exact, ids[chosen], k)
-            out.append((np.full(len(top), query), ids[chosen][top], exact[top]))
-    return pd.DataFrame({n: np.concatenate([x[j] for x in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
+            out.append((np.full(len(top), query), np.full(len(top), key), ids[chosen][top], exact[top]))
+    return pd.DataFrame({n: np.concatenate([x[j] for x in out]) for j, n in enumerate(names)})
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that are found of each row for which is_query holds, a condition on `id`."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(whole(F.col("v")) & F.col("id").isNotNull())
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where(whole(F.col("v")) & F.col("id").isNotNull())
     index = build(clean)
     if index is None:
         return spark.createDataFrame([], schema)
@@ -194,7 +193,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     held = np.zeros(lists, np.int64)
     for r in coded.groupBy("list").count().collect():  # a row a list, of which there are MOST_LISTS at most
         held[r[0]] = r[1]
-    asked = written(probe(clean.where(is_query), index, held, k), "ann-queries")
+    single = clean.where(is_query).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("id", "v"))
+    asked = written(probe(single, index, held, k), "ann-queries")
     sought = np.zeros(lists, np.int64)
     for r in asked.groupBy("list").count().collect():
         sought[r[0]] = r[1]
@@ -213,8 +213,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return search_block(a, b, index, k)
 
-    found = q.repartition(n, *key).groupBy(*key).cogroup(c.repartition(n, *key).groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = q.repartition(n, *key).groupBy(*key).cogroup(c.repartition(n, *key).groupBy(*key)).applyInPandas(run, "query_id long, key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
