@@ -4,8 +4,9 @@ Each arrival is appended as a run: a folder of small immutable Parquet files tha
 When `FANOUT` runs or more of similar size wait, they are merged into one run of files of the target size, by a read and a
 write without a shuffle; runs whose files have reached the target are never written again, so a row is written as often as
 sizes can grow by the fan-out. What exists is what the newest manifest lists: version N is written beside and
-renamed to its name, which fails if another writer has made N meanwhile. Readers hold a version; a lost executor or
-a stopped job leaves files that no manifest lists, which `vacuum` removes.
+renamed to its name, which fails if another writer has made N meanwhile; this needs a file system whose rename does not
+overwrite, as HDFS and local ones have and plain object stores lack. Readers hold a version; a lost executor or
+a stopped job leaves files that no manifest lists, which `vacuum` removes when they are old.
 
 All rows move by DataFrame reads and writes; the driver only handles the list of runs.
 
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from .common import fresh_path, table
 
 #: Bytes of a file, runs that are merged, how far from their mean runs of similar size may lie, and arrivals of the query.
 TARGET, FANOUT, SIMILAR, ARRIVALS = 128 << 20, 4, (0.5, 1.5), 10
+#: Tries to commit an arrival, and seconds for which vacuum leaves alone what no manifest lists.
+TRIES, UNTOUCHED = 10, 86_400.0
 
 
 class ShardStore:
@@ -85,10 +90,18 @@ class ShardStore:
         return {"id": run, "level": level, "rows": rows, "files": len(files), "bytes": sum(x.getLen() for x in files)}
 
     def append(self, df: DataFrame) -> dict:
-        """Appends an arrival as a run of small files and commits; returns the manifest."""
-        before = self.manifest()
+        """Appends an arrival as a run of small files and commits; returns the manifest. An arrival is added to whatever
+        version is the newest, so a commit that another writer was first to make is tried again."""
         run = self._write(df, 0)
-        return self._commit(before, [*before["runs"], run]) if run else before
+        if not run:
+            return self.manifest()
+        for left in range(TRIES, 0, -1):
+            before = self.manifest()
+            try:
+                return self._commit(before, [*before["runs"], run])
+            except Py4JJavaError:
+                if left == 1 or self.versions()[-1:] <= [before["version"]]:
+                    raise
 
     def waiting(self, runs: list[dict]) -> list[dict]:
         """The smallest runs of similar size that are to be merged; empty if there are fewer than the fan-out."""
@@ -113,14 +126,21 @@ class ShardStore:
             now = self._commit(now, [*(r for r in now["runs"] if r["id"] not in gone), merged])
         return now
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes the manifests but the newest `keep`, and the runs that none of these lists."""
-        found = self.versions()
+    def vacuum(self, keep: int = 1, older: float = UNTOUCHED) -> None:
+        """Removes the manifests but the newest `keep`, and the runs that none of these lists, if they were written more
+        than `older` seconds ago: a run may be about to be committed by another writer, and a reader may hold an older
+        version. Only one who knows that there are no others passes less."""
+        found, now = self.versions(), time.time()
+        gone = lambda x: x.getModificationTime() / 1000 <= now - older
         listed = {r["id"] for v in found[-keep:] for r in self.manifest(v)["runs"]}
+        # A version goes when the one that followed it is old enough, and its runs with it.
+        fresh = [v for v, after in zip(found[:-keep], found[1:]) if not gone(self._fs.getFileStatus(self._at(f"manifest/v{after:012d}.json")))]
+        listed |= {r["id"] for v in fresh for r in self.manifest(v)["runs"]}
         for v in found[:-keep]:
-            self._fs.delete(self._at(f"manifest/v{v:012d}.json"), False)
+            if v not in fresh:
+                self._fs.delete(self._at(f"manifest/v{v:012d}.json"), False)
         for x in self._fs.listStatus(self._at("runs")):
-            if x.getPath().getName() not in listed:
+            if x.getPath().getName() not in listed and gone(x):
                 self._fs.delete(x.getPath(), True)
 
     def _rows(self, runs: list[dict]) -> DataFrame:
@@ -132,7 +152,8 @@ class ShardStore:
         return self._rows(runs) if runs else None
 
     def placed(self, columns: list[str], version: int | None = None) -> DataFrame | None:
-        """The named columns, and where each row lies: run (place in the manifest), level, shard (file of the run)."""
+        """The named columns, and where each row lies: run (place in the manifest), level, shard (file of the run). Columns
+        of the documents that bear these names are not to be asked for."""
         parts = []
         for i, r in enumerate(self.manifest(version)["runs"]):
             shard = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
@@ -156,7 +177,7 @@ def store_in_arrivals(docs: DataFrame, path: str, id_col: str = "doc_id", arriva
         store.append(docs.where(own))
         store.compact()
         if store.versions():
-            store.vacuum()
+            store.vacuum(older=0)  # nobody else knows of this store yet
     return store
 
 
