@@ -21,13 +21,14 @@ gives an empty result; with one source every document is read once. Other column
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lookup, table, written
 
 BLOCKS, GRID, ROUNDS, REPETITIONS = 4096, 33, 8, 2.0
+#: Sources whose plan, a short row each, is broadcast; of more only those that hold a thousandth of the rows are.
+FEW_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,10 +80,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     A document is read whole times, and once more if its block lies before edge_block in the permuted order, or is
     that block and its spot is at most edge_spot."""
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    own = docs.select(tokens.alias("tokens"), *[v.alias(k) for k, v in own_columns(docs, id_col, source_col).items()])
-    sums = written(own.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks").withColumn("turn", place(F.lit("block"), F.col("block")))
+    own = docs.select(tokens.alias("tokens"), F.lit(1).alias("n"), *[v.alias(k) for k, v in own_columns(docs, id_col, source_col).items()])
+    sums = written(own.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")), "mix-blocks").withColumn("turn", place(F.lit("block"), F.col("block")))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
-    sources = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).withColumn("share", F.col("tokens") / F.lit(float(max(1, total))))
+    sources = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).withColumn("share", F.col("tokens") / F.lit(float(max(1, total))))
     sources = written(sources, "mix-sources")
     real = sources.where("tokens > 0")
     exponent = bisect(real, repetitions if entropy is None else None, entropy)
@@ -109,11 +110,15 @@ def place_documents(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id",
     own = own_columns(docs, id_col, source_col)
     turn = place(F.lit("block"), own["block"])
     names = {"source": "__hx_source", "whole": "__hx_whole", "edge_turn": "__hx_edge_turn", "edge_spot": "__hx_edge_spot"}
-    right = sources.select(*[F.col(k).alias(v) for k, v in names.items()])
-    placed = docs.withColumns({"__hx_own": own["source"], "__hx_turn": turn, "__hx_spot": own["spot"]}).join(right, F.col("__hx_own") == F.col("__hx_source"))
+    right = sources.select(*[F.col(k).alias(v) for k, v in names.items()], F.col("n").alias("__hx_n"))
+    docs = docs.withColumns({"__hx_source": own["source"], "__hx_turn": turn, "__hx_spot": own["spot"]})
+    if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        placed = docs.join(F.broadcast(right.drop("__hx_n")), "__hx_source")
+    else:
+        placed = lookup(docs, right, "__hx_source", sources.agg(F.sum("n")).first()[0], "__hx_n")
     more = F.coalesce((F.col("__hx_turn") < F.col("__hx_edge_turn")) | (F.col("__hx_turn") == F.col("__hx_edge_turn")) & (F.col("__hx_spot") <= F.col("__hx_edge_spot")), F.lit(False))
     placed = placed.withColumn("__hx_copies", F.col("__hx_whole") + more.cast("int"))
-    return placed.drop("__hx_own", *names.values())
+    return placed.drop(*names.values())
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **target) -> DataFrame:
