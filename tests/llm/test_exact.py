@@ -75,6 +75,89 @@ def test_small_batch_on_a_larger_index(spark):
     index.drop()
 
 
+@pytest.mark.parametrize("batch", [1, 100, 10_000])
+def test_batches_after_a_restart(spark, tmp_path, batch):
+    """5,000 texts are indexed; the session's catalog forgets the table, another index opens the path."""
+    first = D.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    D.exact_dedup(docs(spark, [f"t{i}" for i in range(5000)]), index=first).count()
+    spark.sql(f"DROP TABLE {first.name}")
+    again = D.DigestIndex(spark.newSession(), str(tmp_path / "index"), buckets=7)
+    assert again.buckets == 4 and again.read().count() == 5000
+    ids = [*range(100_000, 100_000 + batch)]
+    rows = [f"T{i % 6000}" for i in range(batch)]
+    got = {r.doc_id: r for r in D.exact_dedup(docs(again.spark, rows, ids), index=again).collect()}
+    assert sorted(got) == ids
+    last, many = {t: i for i, t in zip(ids, rows)}, Counter(rows)
+    for i, t in zip(ids, rows):
+        old = int(t[1:]) < 5000
+        keep = int(t[1:]) if old else last[t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (keep, many[t] + old, i == keep)
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_draws_of_any_share(spark):
+    """Of ids to the count of rows, about the share is drawn, and the threshold of one in 1e11 is not empty."""
+    from helixframe.llm.common import drawn
+
+    n = 200_000
+    for share in (0.5, 0.01, 0.0):
+        got = spark.range(n).where(drawn(F.col("id"), F.lit(share))).count()
+        assert abs(got - share * n) <= 5 * (share * n) ** 0.5
+    # As many hashes lie below the bound of 1e-11 as should, of all that there are.
+    bound = spark.range(1).select((F.lit(1e-11) * F.lit(2.0**64) - F.lit(2.0**63)).alias("b")).first().b
+    assert (bound + 2.0**63) / 2.0**64 == pytest.approx(1e-11, rel=1e-3)
+
+
+def test_vacuum_leaves_what_may_be_committed(spark, tmp_path):
+    store = T.ShardStore(spark, str(tmp_path / "s"))
+    store.append(docs(spark, ["a"]))
+    waiting = store._write(docs(spark, ["b"], [1]), 0)
+    store.vacuum()
+    now = store.manifest()
+    store._commit(now, [*now["runs"], waiting])
+    assert store.read().count() == 2
+    store._write(docs(spark, ["c"], [2]), 0)
+    store.vacuum(older=0)
+    assert len(list((tmp_path / "s" / "runs").iterdir())) == 2 and store.read().count() == 2
+
+
+def test_append_is_tried_again_after_a_lost_race(spark, tmp_path, monkeypatch):
+    store, other = (T.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    store.append(docs(spark, ["a"]))
+    stale, real = store.manifest(), store.manifest
+    other.append(docs(spark, ["b"], [1]))
+    seen = []
+    monkeypatch.setattr(store, "manifest", lambda *x: stale if not seen and not seen.append(1) else real(*x))
+    store.append(docs(spark, ["c"], [2]))
+    monkeypatch.undo()
+    assert sorted(r.text for r in store.read().collect()) == ["a", "b", "c"]
+
+
+def test_sharding_query_rows(spark, tmp_path):
+    texts = [*AWKWARD, *("x" * i for i in range(300))]
+    docs(spark, texts).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in T.op9_sharding(spark, str(tmp_path)).collect()}
+    assert {i: got[i].n_bytes for i in got} == {i: len((t or "").encode()) for i, t in enumerate(texts)}
+    places = defaultdict(set)
+    for r in got.values():
+        places[r.run].add(r.level)
+    assert all(len(x) == 1 for x in places.values()) and max(r.level for r in got.values()) >= 1
+
+
+def test_mixing_with_many_sources_and_odd_ids(spark, monkeypatch):
+    """More sources than are broadcast; repeated and null ids stay or go together."""
+    rows = [(i % 40 if i % 50 else None, "w " * (1 + i % 7), "en", f"s{i % 60}", 0) for i in range(600)]
+    frame = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(repr, M.mix(frame).collect()))
+    monkeypatch.setattr(M, "FEW_SOURCES", 3)
+    assert sorted(map(repr, M.mix(frame).collect())) == want
+    copies = defaultdict(set)
+    for r, n in Counter(map(tuple, M.mix(frame).collect())).items():
+        copies[(r[0], r[3])].add(n / Counter(rows)[r])
+    assert all(len(x) == 1 for x in copies.values())
+
+
 def test_hot_text(spark):
     n = 3000
     rows = docs(spark, ["hot" if i % 3 == 0 else f"t{i % 1500}" for i in range(n)])

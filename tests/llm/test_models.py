@@ -125,13 +125,100 @@ def test_nearest_neighbours_and_odd_vectors(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
-def test_error_bound_chooses_few_but_the_right_ones():
+def test_error_bound_chooses_few_but_the_right_ones(monkeypatch):
+    """Of one list the bound leaves the nearest, and far fewer than all where near ones stand out."""
     rng = np.random.default_rng(5)
     x = rng.standard_normal((2000, 128))
-    index = ann.fit(x, len(x))
+    x[:40] = x[0] + 0.1 * rng.standard_normal((40, 128))
+    index = ann.Index(np.zeros((1, 128)), ann.fit(x, len(x)).rotation, 1)
     bits, length, inner = ann.codes(x, index.centroids[0], index.rotation)
     assert bits.shape == (2000, 16) and (inner > 0.7).all()
     assert np.allclose(np.linalg.norm(x - index.centroids[0], axis=1), length)
+    cell = ann.pd.DataFrame({"list": 0, "id": np.arange(2000), "v": list(x), "code": [b.tobytes() for b in bits], "length": length, "inner": inner})
+    asked = ann.pd.DataFrame({"list": 0, "id": np.arange(30), "key": np.arange(30), "v": list(x[:30])})
+    reranked, best = [], ann.best
+    monkeypatch.setattr(ann, "best", lambda d, ids, k: reranked.append(len(d)) or best(d, ids, k))
+    got = ann.search_block(asked, cell, index, 10)
+    for q in range(30):
+        far = np.linalg.norm(x - x[q], axis=1)
+        far[q] = np.inf
+        assert got[got.query_id == q].vec_id.tolist() == np.argsort(far)[:10].tolist()
+    assert max(reranked) < 500
+
+
+def test_repeated_query_rows(spark):
+    """A query row that is there twice is one query; equal ids with other vectors are a query each."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)]
+    twice = spark.createDataFrame([*rows, rows[0], rows[100], (100, rng.standard_normal(8).tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(twice, F.col("id") % 100 == 0).collect()
+    want = slow_search(dict(rows), [0], 10)[0]
+    own = sorted((r.rank, r.vec_id) for r in got if r.query_id == 0)
+    assert [r for r, _ in own] == list(range(1, 11))
+    assert len({i for _, i in own if i != 100} & {i for _, i in want if i != 100}) >= 8
+    assert sorted(r.rank for r in got if r.query_id == 100) == sorted([*range(1, 11)] * 2)
+
+
+def slow_margins(model, text):
+    """Language and score by plain loops over the bytes."""
+    raw = f" {re.sub(r'[^a-zA-ZÀ-ɏͰ-ϿЀ-ӿ]+', ' ', text.lower()).strip()} ".encode()
+    counts = {}
+    for size in (1, 2, 3, 4):
+        for i in range(len(raw) - size + 1):
+            code = 0
+            for b in raw[i : i + size]:
+                code = (code * 257 + b) % 2**32
+            k = ((code * 2654435761 + size) % 2**32 >> 19) % language_id.FEATURES
+            counts[k] = counts.get(k, 0) + 1
+    total = sum(counts.values())
+    margins = [float(w[-1]) + sum(float(w[k]) * (c / total) ** 0.5 for k, c in counts.items()) for w in model.weights]
+    sure = [1 / (1 + np.exp(-2 * m)) for m in margins]
+    families = max(model.family) + 1
+    best = max(range(families), key=lambda f: (margins[f], -f))
+    own = [i for i, f in enumerate(model.family) if f == best]
+    votes = dict.fromkeys(own, 0.0)
+    for (a, b), p in zip(model.pairs, sure[families:]):
+        if a in votes:
+            votes[a], votes[b] = votes[a] + p, votes[b] + 1 - p
+    top = max(own, key=lambda i: (votes[i], -i))
+    return model.languages[top], (sure[best] if families > 1 else 1.0) * (votes[top] / (len(own) - 1) if len(own) > 1 else 1.0)
+
+
+@tables
+def test_languages_equal_plain_loops(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.train(docs)
+    some = docs.where("doc_id < 60").unionByName(docs.where("doc_id < 5"))
+    got = language_id.predict(some, model).collect()
+    assert len(got) >= 60
+    for r in got:
+        if language_id.has_letter(r.text or ""):
+            lang, score = slow_margins(model, r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+@tables
+def test_severity_equals_plain_loops(spark):
+    import math
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    long = spark.createDataFrame([(-1, "word " * 200_000)], "doc_id long, text string")
+    some = docs.where("doc_id < 80").select("doc_id", "text").unionByName(docs.where("doc_id < 5").select("doc_id", "text")).unionByName(long)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in toxicity.severity(some, model).collect():
+        words = re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())
+        counts = {}
+        for w in words:
+            for x in [w, *(f"{w[:n]}\x00" for n in (4, 5, 6) if len(w) >= n)]:
+                k = zlib.crc32(x.encode()) % 2**20
+                counts[k] = counts.get(k, 0) + 1
+        z = sum(float(model.weights[model.number[k]]) * math.log1p(c) for k, c in counts.items() if k in model.number)
+        above = [1 - 1 / (1 + math.exp(-(float(t) - z))) for t in model.thresholds] if words else [0.0]
+        assert r.severity == pytest.approx(sum(above), abs=1e-9) and r.p_toxic == pytest.approx(above[0], abs=1e-9)
 
 
 @tables
