@@ -8,6 +8,7 @@ k = 32 uses the sign bit, so order such codes by `code ^ Long.MIN`.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,47 @@ def syncmers(seq: bytes, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], code[keep]
 
 
+def distinct_seeds(df: DataFrame, seq: str, k: int, s: int | None = None) -> DataFrame:
+    """A row a sequence and code: df's columns but seq, then code and c, how often the sequence holds it. Counting here
+    keeps repeats of a sequence out of every shuffle behind."""
+    keep = [c for c in df.columns if c != seq]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != seq) + ", code long, c long"
+
+    def run(batches):
+        for batch in batches:
+            for i, x in enumerate(batch.column(seq).to_pylist()):
+                x = (x or "").encode("ascii", "replace")
+                code, c = np.unique((syncmers(x, k, s) if s else kmers(x, k))[1], return_counts=True)
+                for lo in range(0, len(code), 65536):
+                    own = code[lo : lo + 65536]
+                    take = pa.array(np.full(len(own), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in keep), pa.array(own.view(np.int64)), pa.array(c[lo : lo + 65536].astype(np.int64))], [*keep, "code", "c"])
+
+    return df.select(*keep, F.col(seq)).mapInArrow(run, schema)
+
+
+def reverse_complement_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """The codes of the reverse complements of k-mers, k <= 32."""
+    x = ~code.astype(np.uint64)
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        m, n = np.uint64(mask), np.uint64(shift)
+        x = (x >> n & m) | (x & m) << n
+    x = x >> np.uint64(32) | x << np.uint64(32)
+    return x >> np.uint64(64 - 2 * k)
+
+
+def reverse_complement_code(code: str, k: int):
+    """A column of reverse complements of a column of codes."""
+
+    @F.pandas_udf("long")
+    def turn(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        out = reverse_complement_codes(x.fillna(0).to_numpy(np.int64).view(np.uint64), k).view(np.int64)
+        return pd.Series(out, index=x.index, dtype="Int64").where(known)
+
+    return turn(code)
+
+
 def seeds(df: DataFrame, seq: str, k: int, stride: int = 1, s: int | None = None, strand: bool = False) -> DataFrame:
     """A row a seed: df's columns but seq, then pos and code. s: closed syncmers, for which the stride has no meaning.
 

@@ -6,12 +6,15 @@ collapse is an ordered fold over one (cell, gene)'s UMIs.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
 COUNTABLE = ("unique_gene", "ambiguous_transcript_same_gene")
+#: UMIs of one (cell, gene) that are compared pair by pair; the state of UMIs that have none.
+FOLD, UNSTATED = 32, 8
 
 
 def correct_barcodes(observed: DataFrame, whitelist: DataFrame | None, cb: str = "cb") -> DataFrame:
@@ -62,22 +65,46 @@ def near(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & a.rlike("^[ACGT]+$") & b.rlike("^[ACGT]+$") & (F.levenshtein(a, b, 1) == 1)
 
 
-def roots(umis: Column) -> Column:
-    """The UMIs that stand after directional collapse. umis: array of (n, umi).
+def collapsed(umis: list[tuple[int, str, int]]) -> list[int]:
+    """States of the roots of one (cell, gene)'s UMIs (n, umi, state); a look-up of the neighbours each, however many there are."""
+    place, states, counts, out = {}, [], [], []
+    for n, umi, state in sorted(umis, key=lambda x: (-x[0], x[1])):
+        at = None
+        if umi and not set(umi) - set("ACGT"):
+            near = (place.get(umi[:i] + b + umi[i + 1 :]) for i in range(len(umi)) for b in "ACGT" if b != umi[i])
+            at = min((p for p in near if p is not None and counts[p] >= 2 * n - 1), default=None)
+        if at is None:
+            place[umi] = len(states)
+            states.append(state)
+            counts.append(n)
+        else:
+            a, b = states[at], state
+            states[at] = 4 if 4 in (a, b) else b if a == 8 else a if b == 8 else a & b or 4
+    return states
 
-    From the most frequent on, ties by UMI, a UMI is absorbed by a root that differs in one base and has at least 2 n - 1 reads."""
-    order = F.array_sort(F.transform(umis, lambda x: F.struct((-x["n"]).alias("m"), x["umi"].alias("umi"))))
-    none = F.filter(order, lambda x: F.lit(False))
-    return F.aggregate(order, none, lambda a, x: F.when(F.exists(a, lambda r: near(r["umi"], x["umi"]) & (-r["m"] >= -2 * x["m"] - 1)), a).otherwise(F.concat(a, F.array(x))))
+
+def collapsed_states(n: pd.Series, umi: pd.Series, state: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else collapsed(list(zip(x.tolist(), u.tolist(), s.tolist()))) for x, u, s in zip(n, umi, state)])
+
+
+def standing_states(umis: Column) -> Column:
+    """The states of the UMIs that stand after directional collapse. umis: array of (n, umi, state).
+
+    Up to FOLD UMIs are folded pair by pair in the JVM; more are looked up by their neighbours."""
+    many = F.size(umis) > FOLD
+    part = lambda name: F.when(many, F.transform(umis, lambda x: x[name]))
+    by_neighbours = F.pandas_udf(collapsed_states, "array<int>")
+    return F.coalesce(by_neighbours(part("n"), part("umi"), part("state")), collapse_states(F.when(~many, umis)))
 
 
 def umi_counts(found: DataFrame, distance: int = 1) -> DataFrame:
     """gene, cell, count of molecules; found: cell, umi, gene, n. distance 0 counts UMIs as they are."""
     if distance not in (0, 1):
         raise ValueError("UMIs are collapsed at a distance of 0 or 1")
-    grouped = found.groupBy("gene", "cell").agg(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "umi")).alias("umis"))
-    size = F.size(roots(F.col("umis"))) if distance else F.size("umis")
-    return grouped.select("gene", "cell", size.cast("long").alias("count"))
+    if not distance:
+        return found.groupBy("gene", "cell").agg(F.count(F.lit(1)).alias("count"))
+    grouped = found.groupBy("gene", "cell").agg(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), "umi", F.lit(UNSTATED).alias("state"))).alias("umis"))
+    return grouped.select("gene", "cell", F.size(standing_states(F.col("umis"))).cast("long").alias("count"))
 
 
 def count_genes(assignments: DataFrame, whitelist: DataFrame | None = None, features: DataFrame | None = None, ratio: float = 2.0, resolve: bool = True, distance: int = 1) -> DataFrame:
@@ -167,7 +194,7 @@ def state_counts(resolved: DataFrame, collapse: bool = True) -> DataFrame:
     rows = resolved.where(F.col("gene").isNotNull())
     kind = F.struct(F.col("reads").cast("long").alias("n"), "umi", F.col("state").cast("int").alias("state"))
     g = rows.groupBy("gene", "cell").agg(F.collect_list(kind).alias("umis"))
-    states = collapse_states(F.col("umis")) if collapse else F.transform("umis", lambda x: x["state"])
+    states = standing_states(F.col("umis")) if collapse else F.transform("umis", lambda x: x["state"])
     g = g.withColumn("states", states)
     n = lambda s: F.size(F.filter("states", lambda x: x == s)).cast("long")
     g = g.select("gene", "cell", n(1).alias("spliced"), n(2).alias("unspliced"), n(3).alias("both"), n(4).alias("conflicting"), n(8).alias("unknown"))

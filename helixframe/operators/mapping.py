@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.seeds import seeds
+from ..functions.seeds import distinct_seeds, seeds
 
 MOST = 65535
 
 
 def postings(targets: DataFrame, k: int, s: int | None = None) -> DataFrame:
     """code, gene, class_bits: the classes of a gene's targets that hold a k-mer, or-ed."""
-    return seeds(targets.select("gene", "class_bits", "seq"), "seq", k, s=s).groupBy("code", "gene").agg(F.bit_or("class_bits").alias("class_bits"))
+    return distinct_seeds(targets.select("gene", "class_bits", "seq"), "seq", k, s).groupBy("code", "gene").agg(F.bit_or("class_bits").alias("class_bits"))
 
 
 def build_index(targets: DataFrame, k: int, s: int | None = None) -> DataFrame:

@@ -17,7 +17,9 @@ from ..operators import pathsets as P
 from ..operators import positional as L
 from ..operators import simulate as sim
 from . import fixtures as X
-from .quant import quantify
+from ..sources import sinks
+from .quant import quantify_indexed
+from .staging import fresh_path, staged
 
 K, STRIDE, CAP = X.K, 12, 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,8 +44,29 @@ def gene_count(spark: SparkSession, d: str) -> int:
     return X.targets(spark, d).select("gene").distinct().count()
 
 
-def index(spark: SparkSession, d: str) -> DataFrame:
-    return M.build_index(X.targets(spark, d), K)
+def kept(spark: SparkSession, d: str, name: str, make) -> str:
+    """The path of what make writes for these tables, made once a session."""
+    at = spark.sparkContext.__dict__.setdefault("_helixframe_kept", {})
+    if (d, name) not in at:
+        at[d, name] = fresh_path(spark, name)
+        make(at[d, name])
+    return at[d, name]
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def index(spark: SparkSession, d: str, k: int = K, s: int | None = None) -> DataFrame:
+    """The stored index of the targets; the first query of a session writes it."""
+    path = kept(spark, d, f"index-{k}-{s}", lambda p: sinks.write_index(M.build_index(X.targets(spark, d), k, s), p, buckets(spark), k=k, s=s))
+    return sinks.open_index(spark, path, check=False, k=k, s=s)
+
+
+def positional(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """The stored postings, their statistics and the number of genes."""
+    path = kept(spark, d, f"postings-{K}", lambda p: L.write_postings(X.targets(spark, d).withColumn("class_rank", F.col("class_bits")), K, p, buckets(spark)))
+    return L.open_postings(spark, path, K, check=False)
 
 
 # --- k-mers and the index ---------------------------------------------------------------------------------------------
@@ -60,7 +83,7 @@ BUCKET = "CASE WHEN v = 0 THEN '0' WHEN v = 1 THEN '1' WHEN v <= 4 THEN '2-4' WH
 
 
 def frequencies(spark, d):
-    return E.document_frequencies(seeds(X.targets(spark, d).select("target_id", "gene", "seq"), "seq", K))
+    return L.posting_statistics(X.targets(spark, d), K)
 
 
 @query(f"WITH {FREQUENCIES}, m AS (SELECT 'raw' AS measure, raw AS v FROM fr UNION ALL SELECT 'transcript_df', transcript_df FROM fr UNION ALL SELECT 'gene_df', gene_df FROM fr) SELECT measure, {BUCKET} AS bucket, count(*) AS kmers FROM m GROUP BY ALL")
@@ -78,7 +101,7 @@ EC = f"{X.INDEX}, ix AS (SELECT kmer, string_agg(gene || ':' || class_bits, ';'
 
 @query(f"WITH {EC} SELECT targets, count(*) AS kmers, min(kmer) AS first FROM ix GROUP BY targets")
 def ec_build(spark, d):
-    g = M.equivalence_classes(index(spark, d))
+    g = M.equivalence_classes(M.build_index(X.targets(spark, d), K))
     return g.select(joined(F.transform("targets", lambda t: F.concat_ws(":", t["gene"], t["class_bits"].cast("string")))).alias("targets"), "kmers", S.kmer_text(F.col("first_code"), K).alias("first"))
 
 
@@ -182,7 +205,7 @@ def adaptive_rescue(spark, d):
     def again(lost):
         return M.resolve(M.gene_scores(M.hits(lost, ix, K, STRIDE, CAP), genes))
 
-    return M.rescue(X.reads(spark, d), every_read(spark, d, M.resolve(M.gene_scores(M.hits(X.reads(spark, d), ix, K, 60, CAP), genes))), again)
+    return M.rescue(X.reads(spark, d), staged(every_read(spark, d, M.resolve(M.gene_scores(M.hits(X.reads(spark, d), ix, K, 60, CAP), genes))), "first"), again)
 
 
 STATE = "CASE WHEN class_bits & 3 = 0 THEN 8 ELSE class_bits & 3 END"
@@ -233,7 +256,7 @@ FROM f LEFT JOIN qres q ON f.read_id = q.read_id AND q.assignment_type = 'unique
 )
 def rescue_anti(spark, d):
     genes, ix = gene_count(spark, d), index(spark, d)
-    return M.with_fallback(X.reads(spark, d), every_read(spark, d, consensus(spark, d)), lambda lost: M.resolve(M.gene_scores(M.hits(lost, ix, K, STRIDE, CAP), genes)))
+    return M.with_fallback(X.reads(spark, d), staged(every_read(spark, d, consensus(spark, d)), "first"), lambda lost: M.resolve(M.gene_scores(M.hits(lost, ix, K, STRIDE, CAP), genes)))
 
 
 RUNS = f"list_sum(list_transform(string_split(seq, 'N'), lambda r: greatest(length(r) - {K - 1}, 0)))"
@@ -410,7 +433,7 @@ def umi_state_collapse(spark, d):
 @query()
 def quant(spark, d):
     """Reads to state counts, end to end."""
-    return quantify(X.targets(spark, d), X.reads(spark, d), None, k=31, s=20)
+    return quantify_indexed(index(spark, d, 31, 20), X.reads(spark, d), None, k=31, s=20)
 
 
 # --- intervals --------------------------------------------------------------------------------------------------------
@@ -536,18 +559,13 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY
 vo AS (SELECT read_id, k.target_id AS transcript_id, gene, k.pos - t.pos AS start, count(*) AS seed_count, CAST(least(sum(weight), 65535) AS BIGINT) AS seed_score FROM tk t JOIN kmers k USING (kmer) WHERE raw <= {CAP} AND raw > 0 AND k.pos >= t.pos GROUP BY ALL)"""
 
 
-def postings(spark, d):
-    return L.build_postings(X.targets(spark, d).withColumn("class_rank", F.col("class_bits")), K)
-
-
 def top_seeds(spark, d):
-    stats = frequencies(spark, d).select("code", "raw", "gene_df")
-    own = seeds(X.reads(spark, d).select("read_id", "seq"), "seq", K).join(stats, "code", "left").fillna(0, ["raw", "gene_df"]).withColumn("strand", F.lit(0))
-    return L.plan_seeds(own.withColumn("weight", S.idf_weight(F.lit(gene_count(spark, d)), F.col("gene_df"))))
+    _, statistics, genes = positional(spark, d)
+    return L.planned_seeds(X.reads(spark, d), statistics, K, genes)
 
 
 def locus_hits(spark, d):
-    return L.votes(top_seeds(spark, d), postings(spark, d), CAP)
+    return L.votes(top_seeds(spark, d), positional(spark, d)[0], CAP)
 
 
 @query(f"{POSITIONS} SELECT read_id, pos, kmer, raw, gene_df, weight, r AS rank FROM tk")

@@ -10,6 +10,7 @@ from ..operators import counting as C
 from ..operators import mapping as M
 from ..sources import files, sinks
 from .ordinals import with_ordinal
+from .staging import staged
 
 
 def state_records(assignments: DataFrame) -> DataFrame:
@@ -30,9 +31,15 @@ def count_states(records: DataFrame, whitelist: DataFrame | None, policy: str =
 
 
 def quantify(targets: DataFrame, reads: DataFrame, whitelist: DataFrame | None, k: int = 31, s: int | None = 20, policy: str = "intersection", correct: bool = True, cap: int = 256, trim: bool = False) -> DataFrame:
-    """State counts of reads (read_id, r1, seq, qual) against targets (gene, class_bits, seq)."""
-    assignments = M.map_reads(reads, M.build_index(targets, k, s), k, cap=cap, s=s, trim=trim)
-    return count_states(state_records(assignments), whitelist, policy, correct)
+    """State counts of reads (read_id, r1, seq, qual) against targets (gene, class_bits, seq). Reads are mapped once and the
+    records written, as barcodes, cells and both groupings of molecules read them."""
+    return quantify_indexed(M.build_index(targets, k, s), reads, whitelist, k, s, policy, correct, cap, trim)
+
+
+def quantify_indexed(index: DataFrame, reads: DataFrame, whitelist: DataFrame | None, k: int = 31, s: int | None = 20, policy: str = "intersection", correct: bool = True, cap: int = 256, trim: bool = False) -> DataFrame:
+    """The same against an index that is there already."""
+    records = staged(state_records(M.map_reads(reads, index, k, cap=cap, s=s, trim=trim)), "records")
+    return count_states(records, whitelist, policy, correct)
 
 
 def quant(spark: SparkSession, reference: str, annotation: str | None, r1: str, r2: str, whitelist: str, out: str, policy: str = "intersection", k: int = 31, s: int | None = 20, keep_assignments: bool = False, chemistry: str = "10xv3") -> dict:

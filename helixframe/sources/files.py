@@ -30,10 +30,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id (place in the file), id (first token), seq (upper case), qual. Four lines a record, checked."""
+    """read_id, id (first token), seq (upper case), qual. Four lines a record, checked. read_id is the place in the file;
+    files after the first, in the order of their names, go on from multiples of 2 ** 40, so lanes of mates pair by order."""
     lines = numbered_lines(spark, path)
+    names = sorted(r[0] for r in spark.read.text(path).select(F.col("_metadata.file_path")).distinct().collect())  # a row a file
+    if len(names) > 1:
+        lane = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[F.col("file")]
+        lines = lines.withColumn("lane", lane.cast("long") * (1 << 40))
+    else:
+        lines = lines.withColumn("lane", F.lit(0).cast("long"))
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
-    g = lines.groupBy("file", F.floor(F.col("line") / 4).alias("read_id")).agg(part(0).alias("h"), part(1).alias("s"), part(2).alias("p"), part(3).alias("q"), F.count(F.lit(1)).alias("n"))
+    g = lines.groupBy("file", (F.col("lane") + F.floor(F.col("line") / 4)).alias("read_id")).agg(part(0).alias("h"), part(1).alias("s"), part(2).alias("p"), part(3).alias("q"), F.count(F.lit(1)).alias("n"))
     where = F.concat(F.lit("FASTQ record "), F.col("read_id").cast("string"), F.lit(": "))
     ok = lambda c, m, v: _check(c, F.concat(where, F.lit(m)), v)
     seq = ok(F.col("n") == 4, "lines are missing", ok(F.col("h").startswith("@"), "no @", ok(F.col("p").startswith("+"), "no +", ok(F.length("s") == F.length("q"), "lengths differ", F.upper("s")))))

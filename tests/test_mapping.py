@@ -4,9 +4,11 @@ import gzip
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import seeds as D
 from helixframe.functions import sequence as S
 from helixframe.operators import mapping as M
 from helixframe.operators import pathsets as P
@@ -14,7 +16,7 @@ from helixframe.operators import positional as L
 from helixframe.operators import simulate as sim
 from helixframe.plans import quant as Q
 from helixframe.plans.ordinals import with_ordinal
-from helixframe.sources import files, sinks
+from helixframe.sources import bucketed, files, sinks
 from helixframe.streaming import mapping as streaming
 
 TARGETS = "gene string, class_bits int, seq string"
@@ -204,10 +206,60 @@ def test_text_forms(spark, tmp_path):
     assert sinks.fasta_text(target).first()[0].split("\n") == [">t|gene:g|target:intron|contig:c|strand:+|start:1|end:90", "A" * 80, "A" * 10]
 
 
-def test_index_table_round_trip(spark):
-    spark.sql("DROP TABLE IF EXISTS kmer_index")
-    sinks.write_index(M.build_index(spark.createDataFrame([("a", 1, "ACGTTGCAACGT")], TARGETS), 5), "kmer_index", 4)
-    assert spark.table("kmer_index").count() == 8
+def test_index_is_opened_again_and_checked(spark, tmp_path):
+    path = str(tmp_path / "index")
+    built = M.build_index(spark.createDataFrame([("a", 1, "ACGTTGCAACGT"), ("b", 2, "ACGTTTTTT")], TARGETS), 5)
+    sinks.write_index(built, path, 4, k=5, s=None)
+    spark.sql(f"DROP TABLE {bucketed.table_name(path)}")  # as in a later session
+    again = sinks.open_index(spark, path, k=5)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, built.collect()))
+    assert "Exchange" not in again.groupBy("code").count()._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="otherwise"):
+        sinks.open_index(spark, path, k=6)
+    absent = spark.createDataFrame([(-1,)], "code long")
+    sinks.probe_index(again, built, absent)
+    with pytest.raises(RuntimeError, match="should not"):
+        sinks.probe_index(again, built, built)
+    with pytest.raises(RuntimeError, match="missing"):
+        sinks.probe_index(again, absent, absent)
+    other = bucketed.convert(spark, path, str(tmp_path / "other"), 2)
+    assert other.exceptAll(built).count() == 0 and bucketed.describe(spark, str(tmp_path / "other"))["about"]["k"] == "5"
+    for part in (tmp_path / "index" / "buckets-4").glob("*.parquet"):
+        part.unlink()
+        break
+    spark.catalog.refreshTable(bucketed.table_name(path))
+    with pytest.raises(RuntimeError, match="written"):
+        sinks.open_index(spark, path)
+
+
+def test_lanes_pair_by_order(spark, tmp_path):
+    for mate, base in (("R1", "A"), ("R2", "C")):
+        (tmp_path / mate).mkdir()
+        for lane, n in (("L1", 2), ("L2", 3)):
+            (tmp_path / mate / lane).write_text("".join(f"@{lane}{i}\n{base * (i + 1)}\n+\n{'I' * (i + 1)}\n" for i in range(n)))
+    first, second = (files.read_fastq(spark, str(tmp_path / m)) for m in ("R1", "R2"))
+    pairs = files.pair_reads(first, second).orderBy("read_id").collect()
+    assert [(r.r1, r.seq) for r in pairs] == [("A" * n, "C" * n) for n in (1, 2, 1, 2, 3)]
+    assert [r.read_id % 2**40 for r in pairs] == [0, 1, 0, 1, 2]
+
+
+def test_codes_of_reverse_complements(spark):
+    rng = random.Random(4)
+    for k in (1, 5, 15, 16, 31, 32):
+        seqs = [bases(rng, k) for _ in range(20)]
+        turned = [s.translate(str.maketrans("ACGT", "TGCA"))[::-1] for s in seqs]
+        code = lambda x: D.codes(D.CODE[np.frombuffer(x.encode(), np.uint8)], k)[0]
+        got = D.reverse_complement_codes(np.array([code(x) for x in seqs], np.uint64), k)
+        assert got.tolist() == [int(code(x)) for x in turned]
+    frame = spark.createDataFrame([(27,), (None,)], "code long")  # ACGT is its own reverse complement
+    assert [r[0] for r in frame.select(D.reverse_complement_code("code", 4)).collect()] == [27, None]
+
+
+def test_distinct_seeds_count_repeats(spark):
+    frame = spark.createDataFrame([("g", "ACGACGACG"), ("h", None), ("i", "AC")], "gene string, seq string")
+    got = {r.code: r.c for r in D.distinct_seeds(frame, "seq", 3).collect()}
+    want = Counter(r.code for r in D.seeds(frame, "seq", 3).collect())
+    assert got == want and sorted(want.values()) == [2, 2, 3]
 
 
 def test_streamed_mapping_equals_a_batch(spark, tmp_path):
