@@ -209,3 +209,34 @@ def meet_two(a: Column, b: Column) -> Column:
 def size_bucket(count: Column) -> Column:
     """The seven histogram buckets of index statistics."""
     return F.when(count == 0, "0").when(count == 1, "1").when(count <= 4, "2-4").when(count <= 16, "5-16").when(count <= 64, "17-64").when(count <= 256, "65-256").otherwise(">256")
+
+
+def encode_bases(seq: Column) -> Column:
+    """bits (two a base, the first most significant, as a string of digits 0 to 3) and n, the places of other letters, from 0."""
+    upper = F.translate(F.upper(seq), "U", "T")
+    digits = F.translate(F.regexp_replace(upper, "[^ACGT]", "A"), "ACGT", "0123")
+    bases = F.split(upper, "")
+    places = F.filter(F.transform(bases, lambda b, i: F.when(~b.isin("A", "C", "G", "T") & (b != ""), i)), lambda i: i.isNotNull())
+    return F.struct(digits.alias("bits"), places.alias("n"))
+
+
+def decode_bases(code: Column) -> Column:
+    """The sequence of `encode_bases`, with N for other letters; the length is kept."""
+    plain = F.split(F.translate(code["bits"], "0123", "ACGT"), "")
+    return F.array_join(F.transform(plain, lambda b, i: F.when((b != "") & F.array_contains(code["n"], i), "N").otherwise(b)), "")
+
+
+def pack_barcode(lossy: Column) -> Column:
+    """code (two bits a base, the first base lowest) and valid (a bit a base; U is no base) of 28 bases of barcode and UMI."""
+    bases = F.split(F.rpad(F.substring(F.upper(lossy), 1, 28), 28, "N"), "")
+    number = lambda b: F.when(b == "C", 1).when(b == "G", 2).when(b == "T", 3).otherwise(0).cast("long")
+    code = F.aggregate(F.reverse(bases), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 2).bitwiseOR(number(b)))
+    valid = F.aggregate(F.reverse(bases), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.isin("A", "C", "G", "T").cast("long")))
+    return F.struct(code.alias("code"), valid.alias("valid"))
+
+
+def unpack_barcode(code: Column, valid: Column) -> Column:
+    """28 bases, with N where no bit says that a base is valid."""
+    at = F.sequence(F.lit(0), F.lit(27))
+    base = lambda i: F.substr(F.lit("ACGT"), F.call_function("shiftright", code, 2 * i).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(at, lambda i: F.when(F.call_function("shiftright", valid, i).bitwiseAND(F.lit(1)) == 1, base(i)).otherwise("N")), "")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..plans.staging import staged
 
 COUNTABLE = ("unique_gene", "ambiguous_transcript_same_gene")
 #: UMIs of one (cell, gene) that are compared pair by pair; the state of UMIs that have none.
@@ -207,3 +208,65 @@ def cell_ordinals(rows: DataFrame) -> DataFrame:
     from ..plans.ordinals import with_ordinal
 
     return with_ordinal(rows.groupBy("cell").agg(F.min("read_id").alias("first")), ["first", "cell"], "cell_id").drop("first")
+
+
+def barcode_counters(rows: DataFrame, corrected: DataFrame, listed: bool) -> tuple[DataFrame, list[Column]]:
+    """rows with cell and kind of their barcode, and how many of them were exact, corrected and rejected; without a
+    whitelist nothing is exact."""
+    joined = rows.join(corrected, "cb", "left").withColumn("kind", F.coalesce("kind", F.lit("rejected")))
+    n = lambda x: F.count_if((F.col("kind") == x) & F.col("_checked"))
+    return joined, [n("exact").alias("barcode_exact") if listed else F.lit(0).cast("long").alias("barcode_exact"), n("corrected").alias("barcode_corrected"), n("rejected").alias("rows_rejected_by_barcode")]
+
+
+def count_metrics(assignments: DataFrame, whitelist: DataFrame | None = None, features: DataFrame | None = None, ratio: float = 2.0, resolve: bool = True, distance: int = 1) -> DataFrame:
+    """One row on a run of `count_genes`: rows as they are accepted or rejected, molecules, cells and entries."""
+    rows = assignments.select("cb", "umi", F.when(F.col("assignment_type").isin(*COUNTABLE), F.col("gene")).alias("gene"))
+    named = F.lit(True)
+    if features is not None:
+        names = features.select(F.explode(F.array(*features.columns[:2])).alias("gene")).where(F.col("gene").isNotNull()).distinct()
+        rows = rows.join(names.withColumn("_named", F.lit(True)), "gene", "left")
+        named = F.coalesce("_named", F.lit(False))
+    rows = rows.withColumn("_named", named).withColumn("_checked", F.col("gene").isNotNull() & F.col("_named"))
+    rows, kinds = barcode_counters(rows, correct_barcodes(rows.where("_checked"), whitelist), whitelist is not None)
+    rows = staged(rows, "count-rows")
+    some = rows.where("_checked AND kind <> 'rejected'")
+    found = staged(molecules(some.where(F.length("umi").between(1, 28)).select("cell", "umi", "gene")), "count-molecules")
+    kept = staged(dominant_genes(found, ratio) if resolve else found, "count-kept")
+    counts = umi_counts(kept, distance)
+    mapped = F.col("gene").isNotNull()
+    head = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(mapped).alias("countable_rows"), F.count_if(mapped & ~F.col("_named")).alias("rows_rejected_by_feature"), *kinds, F.count_distinct(F.when(F.col("_checked") & (F.col("kind") != "rejected"), F.col("cell"))).alias("cells"))
+    groups = found.agg(F.count(F.lit(1)).alias("raw_molecule_gene_pairs"), F.count_distinct("cell", "umi").alias("_groups"))
+    taken = kept.agg(F.count(F.lit(1)).alias("accepted_molecules"), F.count_distinct("cell", "umi").alias("_taken"))
+    final = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("corrected_gene_umi_pairs"), F.count(F.lit(1)).alias("nonzero_gene_cell_entries"))
+    one = side_by_side(head, groups, taken, final)
+    return one.withColumns({"ambiguous_molecules_skipped": F.col("_groups") - F.col("_taken"), "raw_gene_umi_pairs": F.col("accepted_molecules")}).drop("_groups", "_taken")
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for x in rows[1:]:
+        out = out.join(F.broadcast(x.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
+def state_metrics(assignments: DataFrame, whitelist: DataFrame | None, policy: str = "intersection", correct: bool = True) -> DataFrame:
+    """One row on a run of state counting. assignments: read_id, cb, umi, top (gene, state); a read without candidates is a row only."""
+    has = F.coalesce(F.size("top"), F.lit(0)) > 0
+    sound = S.strict_barcode(F.concat("cb", "umi"))
+    rows = assignments.select("read_id", "cb", "umi", "top", (has & ~sound).alias("_invalid"), (has & sound).alias("_checked"))
+    rows, kinds = barcode_counters(rows, correct_barcodes(rows.where("_checked"), whitelist), whitelist is not None)
+    rows = staged(rows, "state-rows")
+    own = rows.where("_checked AND kind <> 'rejected'").select("read_id", "cell", "umi", F.explode("top").alias("t")).select("read_id", "cell", "umi", "t.gene", "t.state")
+    resolved = staged(resolve_by_intersection(own) if policy == "intersection" else resolve_by_votes(own), "state-molecules")
+    taken = F.col("_checked") & (F.col("kind") != "rejected")
+    head = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(taken).alias("mapped_valid_rows"), F.count_if("_invalid").alias("invalid_barcode_rows"), *kinds, F.count_distinct(F.when(taken, F.col("cell"))).alias("cells"))
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    groups = resolved.agg(F.count(F.lit(1)).alias("raw_barcode_umi_groups"), n("unresolved").alias("unresolved_gene_groups"), n("conflicting").alias("conflicting_gene_groups"), n("resolved").alias("molecules_before_umi_correction"))
+    layer = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    totals = state_counts(resolved, correct).agg(layer("total", "molecules_after_umi_correction"), layer("spliced", "spliced"), layer("unspliced", "unspliced"), layer("both", "compatible_both"), layer("conflicting", "conflicting_state"), layer("unknown", "unknown_state"), layer("ambiguous", "ambiguous_including_conflict_unknown"))
+    names = {"rescued": "policy_rescued_groups", "changed_genes": "policy_changed_genes", "changed_states": "policy_changed_states", "spliced_ties": "usa_spliced_tiebreak_groups", "fallback": "usa_unknown_conflict_fallback_groups"}
+    if policy == "intersection":
+        return side_by_side(head, groups, totals).withColumns({v: F.lit(0).cast("long") for v in names.values()}).withColumnRenamed("rows_rejected_by_barcode", "barcode_rejected_rows")
+    changed = policy_counters(resolved).select(*[F.col(k).alias(v) for k, v in names.items()])
+    return side_by_side(head, groups, totals, changed).withColumnRenamed("rows_rejected_by_barcode", "barcode_rejected_rows")

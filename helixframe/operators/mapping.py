@@ -134,22 +134,50 @@ def map_reads(reads: DataFrame, index: DataFrame, k: int, policy: str = "consens
     else:
         mapped = resolve(gene_scores(found, genes)).withColumn("top", F.transform("top_genes", lambda x: F.struct(x.alias("gene"), F.lit(S.UNKNOWN).alias("state")))).drop("top_genes")
     out = checked.select("read_id", "r1", "filter").join(mapped, "read_id", "left")
+    return out.select(*assigned(), "top")
+
+
+def assigned(*more: str) -> list[Column]:
+    """The columns of an assignment from r1, filter and what mapping found of the read, if anything."""
     lossy, kind = S.lossy_barcode(F.col("r1")), F.col("filter")
-    return out.select(
-        "read_id", F.substring(lossy, 1, 16).alias("cb"), F.substring(lossy, 17, 12).alias("umi"),
+    return [
+        F.col("read_id"), F.substring(lossy, 1, 16).alias("cb"), F.substring(lossy, 17, 12).alias("umi"),
         F.when(kind.isin("invalid_barcode", "low_quality"), "low_quality").when(kind == "low_complexity", "low_complexity").otherwise(F.coalesce("assignment_type", F.lit("unmapped"))).alias("assignment_type"),
-        "gene", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("score", F.lit(0)).alias("score"),
-        F.when(kind == "invalid_barcode", 4).when(kind == "low_quality", 2).when(kind == "low_complexity", 1).otherwise(F.coalesce("flags", F.lit(0))).alias("flags"), "top",
-    )
+        F.col("gene"), *[F.col(x) for x in more], F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("score", F.lit(0)).alias("score"),
+        F.when(kind == "invalid_barcode", 4).when(kind == "low_quality", 2).when(kind == "low_complexity", 1).otherwise(F.coalesce("flags", F.lit(0))).alias("flags"),
+    ]
+
+
+COUNTABLE = ("unique_gene", "ambiguous_transcript_same_gene")
+
 
+def rescue(reads: DataFrame, first: DataFrame, again, kinds=("unmapped",), countable: bool = False) -> DataFrame:
+    """first, with its reads of these kinds replaced by what `again`, a function of reads, maps of them; those get the rescued flag.
 
-def rescue(reads: DataFrame, first: DataFrame, again) -> DataFrame:
-    """first, with its unmapped reads replaced by what `again`, a function of reads, maps of them; those get the rescued flag."""
-    lost = reads.join(first.where(F.col("assignment_type") == "unmapped").select("read_id"), "read_id", "left_semi")
-    found = again(lost).where(F.col("assignment_type") != "unmapped").withColumn("flags", F.col("flags").bitwiseOR(F.lit(S.FLAG_RESCUED)))
+    `again` may search in full and on both strands. countable: only a result that can be counted replaces one; else
+    any that is not unmapped does."""
+    lost = reads.join(first.where(F.col("assignment_type").isin(*kinds)).select("read_id"), "read_id", "left_semi")
+    fits = F.col("assignment_type").isin(*COUNTABLE) if countable else F.col("assignment_type") != "unmapped"
+    found = again(lost).where(fits).withColumn("flags", F.col("flags").bitwiseOR(F.lit(S.FLAG_RESCUED)))
     return first.join(found.select("read_id"), "read_id", "left_anti").unionByName(found.select(*first.columns))
 
 
+def score_failed(assignments: DataFrame) -> DataFrame:
+    """The unmapped reads that had places but none that scored."""
+    return assignments.where((F.col("assignment_type") == "unmapped") & (F.col("candidate_count") == 0) & (F.col("candidate_hits") > 0))
+
+
+def two_tier_genes(hot: DataFrame, cold: DataFrame, hot_k: int, cold_k: int) -> DataFrame:
+    """gene, gene_id, cold_id: the genes (gene, gene_id) of a cold index by their numbers in the hot one; an error if the
+    indexes differ in k or a cold gene is not in the hot index."""
+    if hot_k != cold_k:
+        raise ValueError(f"hot and cold indexes must have the same k: {hot_k}, {cold_k}")
+    own = cold.select("gene", F.col("gene_id").alias("cold_id")).join(hot.select("gene", "gene_id"), "gene", "left")
+    known = F.col("gene_id").isNotNull()
+    checked = F.when(known, F.col("gene_id")).otherwise(F.raise_error(F.concat(F.lit("a gene of the cold index is not in the hot one: "), F.col("gene"))).cast("long"))
+    return own.select("gene", checked.alias("gene_id"), "cold_id")
+
+
 def with_fallback(reads: DataFrame, first: DataFrame, again, kinds=("unmapped", "ambiguous_gene", "antisense_gene")) -> DataFrame:
     """A second index for reads of these kinds: its result stands where it is a single gene."""
     lost = reads.join(first.where(F.col("assignment_type").isin(*kinds)).select("read_id"), "read_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.seeds import seeds
+from ..functions.seeds import reverse_complement_code, seeds
 from ..operators import counting as C
 from ..operators import evaluation as E
 from ..operators import intervals as I
@@ -120,7 +120,29 @@ def stride_seed_lookup(spark, d):
     return own.groupBy("read_id").agg(F.count(F.lit(1)).alias("lookups"), F.count_if(F.col("gene_df") <= 8).alias("found"), F.count_if(F.col("gene_df") > 8).alias("skipped"))
 
 
-@query()
+WRAP = "18446744073709551616::UHUGEINT"
+TURNS = "(({x}) * {c}::UHUGEINT) % " + WRAP
+
+
+def number_sql(text: str, size: int) -> str:
+    """The base-4 number of a k-mer in SQL."""
+    return f"list_sum(list_transform(range({size}), lambda i: ((instr('ACGT', substr({text}, i::INT + 1, 1)) - 1)::BIGINT << (2 * ({size - 1} - i))::INT)))"
+
+
+def turned_sql(x: str, shift: int) -> str:
+    return f"xor({x}, {x} // {1 << shift}::UHUGEINT)"
+
+
+@query(
+    f"""WITH {X.TARGETS}, sm AS (SELECT target_id, pos, substr(seq, pos + 1, 20) AS f, reverse(translate(substr(seq, pos + 1, 20), 'ACGT', 'TGCA')) AS b FROM (SELECT *, unnest(range(0, length(seq) - 19)) AS pos FROM targets WHERE length(seq) >= 31)),
+m0 AS (SELECT target_id, pos, ({number_sql('least(f, b)', 20)}::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % {WRAP} AS x FROM sm),
+m1 AS (SELECT target_id, pos, {TURNS.format(x=turned_sql('x', 30), c=0xBF58476D1CE4E5B9)} AS x FROM m0),
+m2 AS (SELECT target_id, pos, {TURNS.format(x=turned_sql('x', 27), c=0x94D049BB133111EB)} AS x FROM m1),
+m3 AS (SELECT target_id, pos, {turned_sql('x', 31)} AS x FROM m2),
+m4 AS (SELECT target_id, pos, x, min(x) OVER w AS least, lead(x, 11) OVER (PARTITION BY target_id ORDER BY pos) AS last FROM m3 WINDOW w AS (PARTITION BY target_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+sc AS (SELECT target_id, pos, substr(seq, pos + 1, 31) AS kmer FROM m4 JOIN targets USING (target_id) WHERE last IS NOT NULL AND (x = least OR last = least))
+SELECT target_id, count(*) AS n, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, CAST({number_sql('min(kmer)', 31)} AS BIGINT) AS least_code FROM sc GROUP BY target_id"""
+)
 def syncmer_select(spark, d):
     return seeds(X.targets(spark, d).select("target_id", "seq"), "seq", 31, s=20).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("code").alias("least_code"))
 
@@ -263,10 +285,11 @@ RUNS = f"list_sum(list_transform(string_split(seq, 'N'), lambda r: greatest(leng
 COUNTS = [f"(length(seq) - length(replace(seq, '{x}', '')))" for x in "ACGT"]
 
 
-@query(
-    f"""WITH {X.READS} SELECT read_id, CASE WHEN NOT regexp_matches(substr(r1, 1, 28), '^[ACGTU]{{28}}$') THEN 'invalid_barcode' WHEN phred < 10 THEN 'low_quality'
+PREFILTER = f"""SELECT read_id, CASE WHEN NOT regexp_matches(substr(r1, 1, 28), '^[ACGTU]{{28}}$') THEN 'invalid_barcode' WHEN phred < 10 THEN 'low_quality'
   WHEN {RUNS} <= 1 OR greatest({', '.join(COUNTS)}) * 5 >= ({' + '.join(COUNTS)}) * 4 THEN 'low_complexity' ELSE 'pass' END AS filter FROM reads"""
-)
+
+
+@query(f"WITH {X.READS} {PREFILTER}")
 def read_prefilter(spark, d):
     return M.prefilter(X.reads(spark, d), K).select("read_id", "filter")
 
@@ -425,11 +448,107 @@ def state_matrices(spark, d):
     return C.state_counts(C.resolve_by_intersection(records(spark, d)), collapse=False)
 
 
-@query()
+NEAR = "(hamming({0}.umi, x[1].umi) = 1 AND {0}.n >= 2 * x[1].n - 1)"
+MEET_TWO = "CASE WHEN r.state = 4 OR x[1].state = 4 THEN 4 WHEN r.state = 8 THEN x[1].state WHEN x[1].state = 8 THEN r.state WHEN r.state & x[1].state = 0 THEN 4 ELSE r.state & x[1].state END"
+COLLAPSE = f"""cs AS (SELECT gene, cell, list({{'n': reads, 'umi': umi, 'state': state}} ORDER BY reads DESC, umi) AS u FROM inter WHERE gene IS NOT NULL GROUP BY gene, cell),
+cf AS (SELECT gene, cell, list_reduce(list_prepend([]::STRUCT(n BIGINT, umi VARCHAR, state INTEGER)[], list_transform(u, lambda x: [x])), lambda a, x:
+  CASE WHEN len(list_filter(a, lambda r: {NEAR.format('r')})) > 0
+  THEN list_transform(a, lambda r, i: CASE WHEN i = list_position(list_transform(a, lambda q: {NEAR.format('q')}), true) THEN {{'n': r.n, 'umi': r.umi, 'state': {MEET_TWO}}} ELSE r END)
+  ELSE list_concat(a, x) END) AS r FROM cs)"""
+
+
+def standing_sql(states: str) -> str:
+    return f"CAST(len(list_filter(r, lambda q: q.state IN ({states}))) AS BIGINT)"
+
+
+@query(
+    f"""{CANDIDATES}, {COLLAPSE} SELECT gene, cell, {standing_sql('1')} AS spliced, {standing_sql('2')} AS unspliced, {standing_sql('3')} AS "both", {standing_sql('4')} AS conflicting, {standing_sql('8')} AS unknown,
+  {standing_sql('3, 4, 8')} AS ambiguous, CAST(len(r) AS BIGINT) AS total FROM cf"""
+)
 def umi_state_collapse(spark, d):
     return C.state_counts(C.resolve_by_intersection(records(spark, d)))
 
 
+FEATURES = [("view", "v"), ("x", "click"), ("purchase", "y")]
+
+
+@query(
+    f"""WITH {X.EVIDENCE}, {CELLS}, a AS (SELECT e.*, cell, kind, read_id % 5 <> 0 AS mapped, gene IN ('view', 'click', 'purchase') AS named FROM evidence e JOIN cells USING (cb)),
+mol AS (SELECT cell, umi, gene, count(*) AS n FROM a WHERE mapped AND named AND kind <> 'rejected' GROUP BY ALL), {DOMINANT.format(2)},
+l AS (SELECT gene, cell, list({{'n': n, 'umi': umi}} ORDER BY n DESC, umi) AS u FROM dom GROUP BY gene, cell),
+f AS (SELECT gene, cell, list_reduce(list_prepend([]::STRUCT(n BIGINT, umi VARCHAR)[], list_transform(u, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda r: hamming(r.umi, x[1].umi) = 1 AND r.n >= 2 * x[1].n - 1)) > 0 THEN a ELSE list_concat(a, x) END) AS r FROM l)
+SELECT (SELECT count(*) FROM a) AS rows, (SELECT count_if(mapped) FROM a) AS countable_rows, (SELECT count_if(mapped AND NOT named) FROM a) AS rows_rejected_by_feature,
+  (SELECT count_if(mapped AND named AND kind = 'exact') FROM a) AS barcode_exact, (SELECT count_if(mapped AND named AND kind = 'corrected') FROM a) AS barcode_corrected,
+  (SELECT count_if(mapped AND named AND kind = 'rejected') FROM a) AS rows_rejected_by_barcode, (SELECT count(DISTINCT cell) FROM mol) AS cells, (SELECT count(*) FROM mol) AS raw_molecule_gene_pairs,
+  (SELECT count(*) FROM dom) AS accepted_molecules, (SELECT count(*) FROM (SELECT DISTINCT cell, umi FROM mol)) - (SELECT count(*) FROM dom) AS ambiguous_molecules_skipped,
+  (SELECT count(*) FROM dom) AS raw_gene_umi_pairs, (SELECT CAST(sum(len(r)) AS BIGINT) FROM f) AS corrected_gene_umi_pairs, (SELECT count(*) FROM f) AS nonzero_gene_cell_entries"""
+)
+def count_metrics(spark, d):
+    rows = X.evidence(spark, d).withColumn("assignment_type", F.when(F.col("read_id") % 5 == 0, "ambiguous_gene").otherwise("unique_gene"))
+    return C.count_metrics(rows, X.whitelist(spark), spark.createDataFrame(FEATURES, "id string, name string"))
+
+
+STATE_ROWS = f"""WITH {X.RECORDS}, {CELLS}, a AS (SELECT e.read_id, cell, kind, read_id % 13 <> 0 AS has, read_id % 17 <> 0 AS sound FROM evidence e JOIN cells USING (cb)),
+rec AS (SELECT r.*, cell FROM records r JOIN cells USING (cb) WHERE cell IS NOT NULL AND read_id % 13 <> 0 AND read_id % 17 <> 0), {CANDIDATES[CANDIDATES.index('per AS'):]}, {COLLAPSE}, q AS (SELECT unnest(r).state AS state FROM cf)"""
+
+
+@query(
+    f"""{STATE_ROWS} SELECT (SELECT count(*) FROM a) AS rows, (SELECT count_if(has AND sound AND kind <> 'rejected') FROM a) AS mapped_valid_rows, (SELECT count_if(has AND NOT sound) FROM a) AS invalid_barcode_rows,
+  (SELECT count_if(has AND sound AND kind = 'exact') FROM a) AS barcode_exact, (SELECT count_if(has AND sound AND kind = 'corrected') FROM a) AS barcode_corrected, (SELECT count_if(has AND sound AND kind = 'rejected') FROM a) AS barcode_rejected_rows,
+  (SELECT count(DISTINCT cell) FROM rec) AS cells, (SELECT count(*) FROM inter) AS raw_barcode_umi_groups, (SELECT count_if(outcome = 'unresolved') FROM inter) AS unresolved_gene_groups,
+  (SELECT count_if(outcome = 'conflicting') FROM inter) AS conflicting_gene_groups, (SELECT count_if(outcome = 'resolved') FROM inter) AS molecules_before_umi_correction, (SELECT count(*) FROM q) AS molecules_after_umi_correction,
+  (SELECT count_if(state = 1) FROM q) AS spliced, (SELECT count_if(state = 2) FROM q) AS unspliced, (SELECT count_if(state = 3) FROM q) AS compatible_both, (SELECT count_if(state = 4) FROM q) AS conflicting_state,
+  (SELECT count_if(state = 8) FROM q) AS unknown_state, (SELECT count_if(state IN (3, 4, 8)) FROM q) AS ambiguous_including_conflict_unknown, CAST(0 AS BIGINT) AS policy_rescued_groups, CAST(0 AS BIGINT) AS policy_changed_genes,
+  CAST(0 AS BIGINT) AS policy_changed_states, CAST(0 AS BIGINT) AS usa_spliced_tiebreak_groups, CAST(0 AS BIGINT) AS usa_unknown_conflict_fallback_groups"""
+)
+def state_metrics(spark, d):
+    return C.state_metrics(X.state_assignments(spark, d), X.whitelist(spark))
+
+
+@query(
+    f"""WITH {X.EVIDENCE}, t AS (SELECT read_id, cb, umi, gene, CASE WHEN read_id % 5 = 0 THEN 'ambiguous_gene' WHEN read_id % 7 = 0 THEN 'unmapped' ELSE 'unique_gene' END AS assignment_type, CASE WHEN read_id % 5 = 0 THEN 'multi_gene_ambiguous' ELSE 'no_valid_kmers' END AS reason FROM evidence),
+o AS (SELECT read_id // 2 AS read_id, cb, umi, gene, CASE read_id % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'U' END AS class FROM evidence WHERE read_id % 4 <> 0),
+rc AS (SELECT read_id, cb, umi, count(DISTINCT gene) AS genes, coalesce(string_agg(DISTINCT class, '+' ORDER BY class), 'unknown') AS class FROM o GROUP BY ALL),
+mi AS (SELECT cb, umi, bool_or(assignment_type = 'unique_gene') AS counted, string_agg(DISTINCT assignment_type, '+' ORDER BY assignment_type) AS types FROM t GROUP BY cb, umi),
+th AS (SELECT cb, umi, count(DISTINCT gene) AS genes, min(gene) AS gene, count(DISTINCT (read_id, gene)) AS n FROM o GROUP BY cb, umi),
+m AS (SELECT types, genes, gene, n, coalesce(counted, false) AS ours, genes IS NOT NULL AS mapped FROM mi FULL JOIN th USING (cb, umi)), gap AS (SELECT * FROM m WHERE mapped AND NOT ours)
+SELECT 'type_by_read' AS section, assignment_type AS key, count(*) AS n FROM t GROUP BY key UNION ALL SELECT 'reason_by_read', reason, count(*) FROM t WHERE assignment_type <> 'unique_gene' GROUP BY reason
+UNION ALL SELECT 'genes_by_record', CAST(genes AS VARCHAR), count(*) FROM rc GROUP BY genes UNION ALL SELECT 'class_by_record', class, count(*) FROM rc GROUP BY class
+UNION ALL SELECT 'molecules', CASE WHEN ours AND mapped THEN 'both' WHEN mapped THEN 'only_other' WHEN ours THEN 'only_ours' ELSE 'neither' END AS k, count(*) FROM m GROUP BY k
+UNION ALL SELECT 'type_of_gap', coalesce(types, 'absent') AS k, count(*) FROM gap GROUP BY k UNION ALL (SELECT 'gene_of_gap', gene, CAST(sum(n) AS BIGINT) AS s FROM gap WHERE genes = 1 GROUP BY gene ORDER BY s DESC, gene LIMIT 20)"""
+)
+def gap_report(spark, d):
+    e, i = X.evidence(spark, d), F.col("read_id")
+    ours = e.withColumns({"assignment_type": F.when(i % 5 == 0, "ambiguous_gene").when(i % 7 == 0, "unmapped").otherwise("unique_gene"), "reason": F.when(i % 5 == 0, "multi_gene_ambiguous").otherwise("no_valid_kmers")})
+    other = e.where(i % 4 != 0).select(F.floor(i / 2).alias("read_id"), "cb", "umi", "gene", F.when(i % 3 == 0, "S").when(i % 3 == 1, "U").alias("class"))
+    return E.gap_report(ours, other)
+
+
+def packed_sql(text: str, part: str) -> str:
+    return f"list_sum(list_transform(range(28), lambda i: {part.format(f'substr({text}, i::INT + 1, 1)')}))"
+
+
+@query(
+    f"""WITH {X.READS}, l AS (SELECT read_id, rpad(substr(r1, 1, 28), 28, 'N') AS t FROM reads)
+SELECT read_id, CAST({packed_sql('t', "(greatest(instr('ACGT', {}) - 1, 0)::BIGINT << (2 * i)::INT)")} AS BIGINT) AS code, CAST({packed_sql('t', "((instr('ACGT', {}) > 0)::BIGINT << i::INT)")} AS BIGINT) AS valid, t AS text FROM l"""
+)
+def barcode_packing(spark, d):
+    own = X.reads(spark, d).select("read_id", S.pack_barcode(S.lossy_barcode(F.col("r1"))).alias("p"))
+    return own.select("read_id", "p.code", "p.valid", S.unpack_barcode(F.col("p.code"), F.col("p.valid")).alias("text"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(translate(upper(text), 'U', 'T'), '[^ACGT]', 'N', 'g') AS bases FROM conversations WHERE regexp_matches(text, '^[ -~]*$')")
+def base_codes(spark, d):
+    own = X.table(spark, d, "conversations").where(F.col("text").rlike("^[ -~]*$"))
+    return own.select("conv_id", "turn", S.decode_bases(S.encode_bases(F.col("text"))).alias("bases"))
+
+
+@query(f"WITH {X.KMERS} SELECT target_id, min(reverse(translate(kmer, 'ACGT', 'TGCA'))) AS first, max(reverse(translate(kmer, 'ACGT', 'TGCA'))) AS last FROM kmers GROUP BY target_id")
+def reverse_complement_codes(spark, d):
+    own = seeds(X.targets(spark, d).select("target_id", "seq"), "seq", K).withColumn("code", reverse_complement_code("code", K))
+    return own.groupBy("target_id").agg(F.min("code").alias("a"), F.max("code").alias("b")).select("target_id", S.kmer_text(F.col("a"), K).alias("first"), S.kmer_text(F.col("b"), K).alias("last"))
+
+
 @query()
 def quant(spark, d):
     """Reads to state counts, end to end."""
@@ -618,12 +737,114 @@ def best_alignment(spark, d):
     return L.best_alignment(scored.join(kind, "transcript_id").withColumn("flags", F.col("flags").bitwiseOR(F.col("_k"))).drop("_k"))
 
 
-@query()
+def positional_map_frame(spark, d):
+    postings, statistics, genes = positional(spark, d)
+    return L.map_reads(X.reads(spark, d), postings, statistics, X.targets(spark, d), K, genes)
+
+
+MAPPED = f"""{ALIGNED}, pf AS ({PREFILTER}),
+asg AS (SELECT read_id, CASE WHEN count(DISTINCT gene) > 1 THEN 'ambiguous_gene' WHEN count(DISTINCT transcript_id) > 1 THEN 'ambiguous_transcript_same_gene' ELSE 'unique_gene' END AS assignment_type,
+  CASE WHEN count(DISTINCT gene) = 1 THEN min(gene) END AS gene, CASE WHEN count(DISTINCT gene) = 1 AND count(DISTINCT transcript_id) = 1 THEN min(transcript_id) END AS transcript_id, any_value(n) AS candidate_count, max(score) AS score, bit_or(flags) AS flags
+  FROM bc WHERE NOT one OR k = top GROUP BY read_id),
+sn AS (SELECT read_id, count(*) AS num_valid_kmers FROM seeds GROUP BY read_id),
+tn AS (SELECT read_id, count(*) AS selected_seeds, count_if(raw > 0 AND raw <= {CAP}) AS seed_hits, count_if(raw > {CAP}) AS capped_seeds FROM tk GROUP BY read_id),
+hn AS (SELECT vo.read_id, count(*) AS candidate_hits, count_if(length(t.seq) - vo.start < length(r.seq)) AS score_oob,
+  count_if(length(t.seq) - vo.start >= length(r.seq) AND hamming(substr(t.seq, vo.start + 1, length(r.seq)), rpad(r.seq, least(length(r.seq), length(t.seq) - vo.start)::INT, 'N')) > 6) AS score_full_length_mismatch_only
+  FROM vo JOIN reads r ON r.read_id = vo.read_id JOIN targets t ON t.target_id = vo.transcript_id GROUP BY vo.read_id),
+pm AS (SELECT r.read_id, pf.filter = 'pass' AS ok, rpad(substr(r1, 1, 28), 28, 'N') AS lossy, length(r.seq) AS seq_len,
+  CASE WHEN pf.filter IN ('invalid_barcode', 'low_quality') THEN 'low_quality' WHEN pf.filter = 'low_complexity' THEN 'low_complexity' ELSE coalesce(assignment_type, 'unmapped') END AS assignment_type,
+  CASE WHEN ok THEN gene END AS gene, CASE WHEN ok THEN transcript_id END AS transcript_id, CASE WHEN ok THEN coalesce(candidate_count, 0) ELSE 0 END AS candidate_count, CAST(CASE WHEN ok THEN coalesce(score, 0) ELSE 0 END AS INTEGER) AS score,
+  CAST(CASE pf.filter WHEN 'invalid_barcode' THEN 4 WHEN 'low_quality' THEN 2 WHEN 'low_complexity' THEN 1 ELSE coalesce(flags, 0) END AS INTEGER) AS flags,
+  {', '.join(f"CASE WHEN ok THEN coalesce({c}, 0) ELSE 0 END AS {c}" for c in ('num_valid_kmers', 'selected_seeds', 'seed_hits', 'capped_seeds', 'candidate_hits', 'score_oob', 'score_full_length_mismatch_only'))}
+  FROM reads r JOIN pf USING (read_id) LEFT JOIN asg USING (read_id) LEFT JOIN sn USING (read_id) LEFT JOIN tn USING (read_id) LEFT JOIN hn USING (read_id))"""
+
+
+@query(f"{MAPPED} SELECT read_id, substr(lossy, 1, 16) AS cb, substr(lossy, 17, 12) AS umi, assignment_type, gene, transcript_id, candidate_count, score, flags FROM pm")
+def positional_map(spark, d):
+    """Reads to assignments over the stored postings."""
+    return positional_map_frame(spark, d).select("read_id", "cb", "umi", "assignment_type", "gene", "transcript_id", "candidate_count", "score", "flags")
+
+
+REASON = """CASE WHEN assignment_type = 'low_quality' AND flags & 4 <> 0 THEN 'invalid_barcode_umi' WHEN assignment_type IN ('low_quality', 'low_complexity') THEN assignment_type
+  WHEN assignment_type = 'ambiguous_gene' THEN 'multi_gene_ambiguous' WHEN num_valid_kmers = 0 THEN 'no_valid_kmers' WHEN selected_seeds = 0 THEN 'no_selected_seeds' WHEN candidate_hits = 0 AND capped_seeds = selected_seeds THEN 'all_selected_seeds_over_frequency_cap'
+  WHEN seed_hits = 0 THEN 'no_seed_with_postings' WHEN candidate_hits > 0 AND score_oob > 0 THEN 'score_failed_full_length_out_of_bounds' WHEN candidate_hits > 0 AND score_full_length_mismatch_only > 0 THEN 'score_failed_full_length_mismatch'
+  WHEN candidate_hits > 0 THEN 'candidate_hits_but_score_failed' ELSE 'unmapped_unknown' END"""
+NO_COUNTS = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("score_mismatch", "score_min_len", "score_trimmed_oob", "sparse_probe_attempted", "sparse_probe_accepted", "sparse_probe_fallback"))
+
+
+@query(
+    f"""{MAPPED} SELECT read_id, {REASON} AS reason, CAST(seq_len AS INTEGER) AS seq_len, num_valid_kmers, selected_seeds, seed_hits, candidate_hits, candidate_count AS scored_candidates, candidate_hits AS score_seen, score_oob, score_full_length_mismatch_only,
+  {NO_COUNTS}, flags FROM pm WHERE assignment_type NOT IN ('unique_gene', 'ambiguous_transcript_same_gene')"""
+)
+def unmapped_diagnostics(spark, d):
+    return L.diagnostics(positional_map_frame(spark, d))
+
+
+@query(
+    f"""{MAPPED}, b AS (SELECT count(*) AS n FROM vo GROUP BY transcript_id, start // 64) SELECT count(*) AS reads, {', '.join(f"round(count_if(assignment_type = '{x}') / count(*), 6) AS {x}_rate" for x in S.ASSIGNMENT_TYPES)},
+  round(count_if(flags & 256 <> 0) / count(*), 6) AS exon_target_rate, round(count_if(flags & 512 <> 0) / count(*), 6) AS intron_target_rate, round(count_if(flags & 1024 <> 0) / count(*), 6) AS gene_body_target_rate,
+  round(count_if((flags & 256 <> 0)::INT + (flags & 512 <> 0)::INT + (flags & 1024 <> 0)::INT > 1) / count(*), 6) AS mixed_target_rate, round(count_if(assignment_type LIKE '%gene' AND flags & 1792 = 0) / count(*), 6) AS unknown_target_rate,
+  (SELECT round(avg(n), 6) FROM b) AS mean_bucket, (SELECT CAST(median(n) AS DOUBLE) FROM b) AS median_bucket, (SELECT max(n) FROM b) AS max_bucket FROM pm"""
+)
+def assignment_rates(spark, d):
+    return E.assignment_rates(positional_map_frame(spark, d), L.locus_buckets(locus_hits(spark, d)))
+
+
+@query(f"{POSITIONS} SELECT transcript_id, start // 64 AS bin, count(*) AS places, min(read_id) AS first_read, CAST(sum(seed_count) AS BIGINT) AS seeds FROM vo GROUP BY ALL")
+def locus_buckets(spark, d):
+    g, h = L.locus_buckets(locus_hits(spark, d)), F.col("hits")
+    return g.select("transcript_id", "bin", F.size(h).cast("long").alias("places"), F.get(h, F.lit(0))["read_id"].alias("first_read"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["seed_count"]).alias("seeds"))
+
+
+@query(
+    f"""{POSITIONS}, {X.seeds_sql(24, 'few')}, pl2 AS (SELECT read_id, pos, kmer, coalesce(raw, 0) AS raw, coalesce(gene_df, 0) AS gene_df, CASE WHEN raw IS NULL THEN 0 ELSE {WEIGHT} END AS weight FROM few LEFT JOIN fq USING (kmer), genes),
+tk2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY (raw = 0)::INT, CASE WHEN gene_df = 0 THEN 1e18 ELSE gene_df END, weight DESC, CASE WHEN raw = 0 THEN 1e18 ELSE raw END, pos, kmer) AS r FROM pl2) WHERE r <= 3),
+vo2 AS (SELECT read_id, k.target_id AS transcript_id, gene, k.pos - t.pos AS start, count(*) AS seed_count, CAST(least(sum(weight), 65535) AS BIGINT) AS seed_score FROM tk2 t JOIN kmers k USING (kmer) WHERE raw <= {CAP} AND raw > 0 AND k.pos >= t.pos GROUP BY ALL),
+ac AS (SELECT read_id FROM vo2 GROUP BY read_id HAVING max(seed_count) >= 2) SELECT * FROM vo2 WHERE read_id IN (FROM ac) UNION ALL SELECT * FROM vo WHERE read_id NOT IN (FROM ac)"""
+)
+def sparse_probe(spark, d):
+    postings, statistics, genes = positional(spark, d)
+    return L.sparse_search(X.reads(spark, d), postings, statistics, K, genes).select(*VOTED)
+
+
+@query(
+    f"""{POSITIONS}, sz AS (SELECT read_id, max(r) AS size FROM tk GROUP BY read_id),
+px AS (SELECT t.read_id, size, k.target_id, k.pos - t.pos AS start, unnest(range(r, size + 1)) AS seen FROM tk t JOIN sz USING (read_id) JOIN kmers k USING (kmer) WHERE raw <= {CAP} AND raw > 0 AND k.pos >= t.pos),
+pc AS (SELECT read_id, size, seen, count(*) AS c FROM px GROUP BY read_id, size, seen, target_id, start), pb AS (SELECT read_id, size, seen, list(c ORDER BY c DESC) AS b FROM pc GROUP BY ALL),
+st AS (SELECT read_id, min(seen) AS stop FROM pb WHERE len(b) >= 2 AND seen >= 2 AND b[1] >= 2 AND (b[1] + 1.0) / (b[1] + b[2] + 2.0) >= 0.7 AND b[1] > b[2] + size - seen GROUP BY read_id)
+SELECT read_id, count(*) AS looked_up FROM tk LEFT JOIN st USING (read_id) WHERE stop IS NULL OR r <= stop GROUP BY read_id"""
+)
+def early_stop(spark, d):
+    kept_seeds = L.stop_early(top_seeds(spark, d), positional(spark, d)[0], CAP, threshold=0.7)
+    return kept_seeds.groupBy("read_id").agg(F.count(F.lit(1)).alias("looked_up"))
+
+
+@query(
+    f"""{CONSENSUS}, {X.seeds_sql(STRIDE, 'fine')}, {scores_sql(STRIDE, 'sc2', 'fine')}, {resolve_sql('sc2', 'q')} SELECT count(*) AS common_reads, round(count_if(a.assignment_type = b.assignment_type) / count(*), 6) AS type_agreement,
+  round(count_if(a.gene IS NOT DISTINCT FROM b.gene) / count(*), 6) AS gene_agreement FROM con2 a JOIN qres b ON a.read_id = b.read_id"""
+)
+def assignment_comparison(spark, d):
+    return E.compare_assignments(consensus(spark, d), M.resolve(scores(spark, d)))
+
+
+def signed_sql(x: str) -> str:
+    return f"CAST(CASE WHEN {x} >= 9223372036854775808 THEN {x}::HUGEINT - 18446744073709551616 ELSE {x}::HUGEINT END AS BIGINT)"
+
+
+PATHS = f"""WITH {X.TARGETS}, pn AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY target_id) - 1 AS i FROM targets),
+pt AS (SELECT *, gene || CASE WHEN i >= 64 THEN '#' || (i // 64) ELSE '' END AS component, i % 64 AS path FROM pn),
+pk AS (SELECT component, substr(seq, pos + 1, {K}) AS kmer, bit_or(1::UBIGINT << path::UBIGINT) AS pathset FROM (SELECT *, unnest(range(0, length(seq) - {K} + 1)) AS pos FROM pt WHERE length(seq) >= {K}) GROUP BY ALL),
+po AS (SELECT kmer, count(*) AS postings FROM pk GROUP BY kmer), {X.READS}, {X.seeds_sql(1)},
+me AS (SELECT read_id, component, bit_and(pathset) AS pathset FROM seeds JOIN po USING (kmer) JOIN pk USING (kmer) WHERE postings <= 256 GROUP BY read_id, component HAVING bit_and(pathset) <> 0),
+mp AS (SELECT read_id, component, {signed_sql('pathset')} AS pathset, (bit_count(pathset) > 1)::INT + 2 * (count(*) OVER (PARTITION BY read_id) > 1)::INT AS flags FROM me)"""
+
+
+@query(f"{PATHS} SELECT * FROM mp")
 def pathset_map(spark, d):
     return P.map_paths(X.reads(spark, d), P.build(X.targets(spark, d), K), K)
 
 
-@query()
+@query(f"{PATHS} SELECT component, pathset, flags, count(*) AS reads FROM mp GROUP BY ALL")
 def pathset_certificates(spark, d):
     return P.certificates(pathset_map(spark, d))
 

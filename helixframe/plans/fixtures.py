@@ -62,6 +62,13 @@ def state_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("read_id", "cb", "umi", F.explode(F.filter(pair, lambda p: p["gene"].isNotNull())).alias("p")).select("read_id", "cb", "umi", "p.gene", "p.state")
 
 
+def state_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, cb, umi and top (gene, state): every 13th read has no candidate, every 17th no valid barcode."""
+    top = F.collect_list(F.when(F.col("read_id") % 13 != 0, F.struct("gene", "state"))).alias("top")
+    cb = F.when(F.col("read_id") % 17 == 0, F.concat(F.lit("N"), F.substr("cb", F.lit(2)))).otherwise(F.col("cb"))
+    return state_records(spark, sf_dir).groupBy("read_id", "cb", "umi").agg(top).withColumn("cb", cb)
+
+
 #: The same in DuckDB. Genes and classes, k-mers of targets, reads and seeds, evidence, state records.
 SQL_DNA = f"translate(regexp_replace(lower({{}}), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}')"
 SQL_BASE4 = "translate(to_base({}, 4, {}), '0123', 'ACGT')"
