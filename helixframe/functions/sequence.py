@@ -213,7 +213,7 @@ def size_bucket(count: Column) -> Column:
 
 def encode_bases(seq: Column) -> Column:
     """bits (two a base, the first most significant, as a string of digits 0 to 3) and n, the places of other letters, from 0."""
-    upper = F.translate(F.upper(seq), "U", "T")
+    upper = F.translate(seq, "acgtuU", "ACGTTT")
     digits = F.translate(F.regexp_replace(upper, "[^ACGT]", "A"), "ACGT", "0123")
     bases = F.split(upper, "")
     places = F.filter(F.transform(bases, lambda b, i: F.when(~b.isin("A", "C", "G", "T") & (b != ""), i)), lambda i: i.isNotNull())

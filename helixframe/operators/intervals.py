@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
-FLANK = 86
+#: Bases at an intron's ends, and of a window of a contig.
+FLANK, WINDOW = 86, 1 << 16
 
 
 def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,13 +50,36 @@ def bodies_of(genes: DataFrame, exons: DataFrame, keys: list[str]) -> DataFrame:
     return hull.join(own, keys, "full_outer").select(*keys, F.coalesce("start", "_s").alias("start"), F.coalesce("end", "_e").alias("end"))
 
 
-def sequences(pieces: DataFrame, genome: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seq: the pieces' bases joined in the order of transcription. pieces: keys, contig, strand, start, end; genome: contig, seq."""
-    cut = pieces.join(genome.withColumnRenamed("seq", "_contig"), "contig", "left")
-    seq = F.when(F.col("_contig").isNull(), F.raise_error(F.concat(F.lit("missing contig "), F.col("contig")))).when(F.col("end") > F.length("_contig"), F.raise_error(F.lit("an interval is out of bounds"))).otherwise(F.substr("_contig", F.col("start"), F.col("end") - F.col("start") + 1))
-    rows = cut.select(*keys, "contig", "strand", F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start")).alias("_o"), F.when(F.col("strand") == "-", S.reverse_complement(seq)).otherwise(seq).alias("_s"), "start", "end")
-    g = rows.groupBy(*keys, "contig", "strand").agg(F.array_sort(F.collect_list(F.struct("_o", "_s"))).alias("_p"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("pieces"))
-    return g.withColumn("seq", F.array_join(F.transform("_p", lambda x: x["_s"]), "")).drop("_p")
+def windows(genome: DataFrame, size: int = WINDOW) -> DataFrame:
+    """contig, w, part: contigs (contig, seq) cut to windows; a slice of each is one pass over the contig."""
+
+    def run(batches):
+        for batch in batches:
+            for contig, seq in zip(batch.column("contig").to_pylist(), batch.column("seq").to_pylist()):
+                seq = seq or ""
+                for lo in range(0, len(seq), size * 256):
+                    at = range(lo, min(len(seq), lo + size * 256), size)
+                    yield pa.RecordBatch.from_arrays([pa.array([contig] * len(at), pa.string()), pa.array([x // size for x in at], pa.int64()), pa.array([seq[x : x + size] for x in at], pa.string())], ["contig", "w", "part"])
+
+    return genome.select("contig", "seq").mapInArrow(run, "contig string, w long, part string")
+
+
+def sequences(pieces: DataFrame, genome: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
+    """keys, contig, strand, seq, start, end, pieces: the pieces' bases joined in the order of transcription. pieces: keys, contig,
+    strand, start, end; genome: contig, seq. A piece meets only the windows that it reaches into."""
+    long = genome.select("contig", F.length("seq").alias("_length"))
+    at = lambda c: F.floor((c - 1) / size)
+    each = F.explode(F.sequence(at(F.col("start")), at(F.col("end")))).alias("w")
+    met = pieces.join(long, "contig", "left").select(*keys, "contig", "strand", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "_length", each)
+    cut = met.join(windows(genome, size), ["contig", "w"], "left")
+    lo, hi = F.greatest(F.col("start") - 1, F.col("w") * size), F.least(F.col("end"), (F.col("w") + 1) * size)
+    fails = lambda text: F.raise_error(text).cast("string")
+    part = F.when(F.col("_length").isNull(), fails(F.concat(F.lit("missing contig "), F.col("contig")))).when(F.col("end") > F.col("_length"), fails(F.lit("an interval is out of bounds")))
+    part = part.otherwise(F.substr("part", (lo - F.col("w") * size + 1).cast("int"), (hi - lo).cast("int")))
+    first = (F.col("w") == at(F.col("start"))).cast("long")
+    g = cut.groupBy(*keys, "contig", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end", "w", part.alias("_s")))).alias("_p"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum(first).alias("pieces"))
+    forward = F.array_join(F.transform("_p", lambda x: x["_s"]), "")
+    return g.withColumn("seq", F.when(F.col("strand") == "-", S.reverse_complement(forward)).otherwise(forward)).drop("_p")
 
 
 def build_targets(genes: DataFrame, exons: DataFrame, genome: DataFrame, kind: str, flank: int = FLANK) -> DataFrame:
@@ -81,3 +106,11 @@ def build_targets(genes: DataFrame, exons: DataFrame, genome: DataFrame, kind: s
     out = sequences(pieces, genome, ["gene_id"]).where(F.length("seq") > 0).drop("start", "end").join(body.select("gene_id", "start", "end"), "gene_id")
     name = "gene_body" if kind == "gene_body" else "intron"
     return out.select(F.col("gene_id").alias("target_id"), "gene_id", F.lit(name).alias("target"), "contig", "strand", "start", "end", "pieces", "seq")
+
+
+def build_statistics(built: DataFrame, exons: DataFrame) -> DataFrame:
+    """One row on built targets: targets, genes, pieces and bases; an error if there is no transcript to build from."""
+    none = exons.limit(1).count() == 0
+    if none:
+        raise ValueError("no transcript has an exon")
+    return built.agg(F.count(F.lit(1)).alias("targets"), F.count_distinct("gene_id").alias("genes"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))

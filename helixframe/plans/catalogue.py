@@ -537,9 +537,9 @@ def barcode_packing(spark, d):
     return own.select("read_id", "p.code", "p.valid", S.unpack_barcode(F.col("p.code"), F.col("p.valid")).alias("text"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(translate(upper(text), 'U', 'T'), '[^ACGT]', 'N', 'g') AS bases FROM conversations WHERE regexp_matches(text, '^[ -~]*$')")
+@query("SELECT conv_id, turn, regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'gs') AS bases FROM conversations")
 def base_codes(spark, d):
-    own = X.table(spark, d, "conversations").where(F.col("text").rlike("^[ -~]*$"))
+    own = X.table(spark, d, "conversations")
     return own.select("conv_id", "turn", S.decode_bases(S.encode_bases(F.col("text"))).alias("bases"))
 
 

@@ -160,3 +160,15 @@ def read_perf_counters(spark: SparkSession, path: str) -> DataFrame:
     number = F.when(is_csv, F.get(comma, F.lit(0))).otherwise(F.regexp_replace(F.regexp_extract(v, r"^([0-9][0-9,.]*)\s+\S+", 1), ",", ""))
     name = F.when(is_csv, F.get(comma, F.lit(2))).otherwise(F.regexp_extract(v, r"^[0-9][0-9,.]*\s+(\S+)", 1))
     return spark.read.text(path).select(name.alias("counter"), number.cast("double").alias("value")).where("counter <> '' AND value IS NOT NULL")
+
+
+def first_targets(fasta: DataFrame, n: int) -> DataFrame:
+    """The first n records of a FASTA file, by their order."""
+    from ..plans.ordinals import with_ordinal
+
+    return with_ordinal(fasta, ["ord"], "_place").where(F.col("_place") < n).drop("_place")
+
+
+def first_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """The first n read pairs of a file."""
+    return pairs.where(F.col("read_id") < n)
