@@ -212,18 +212,17 @@ def size_bucket(count: Column) -> Column:
 
 
 def encode_bases(seq: Column) -> Column:
-    """bits (two a base, the first most significant, as a string of digits 0 to 3) and n, the places of other letters, from 0."""
+    """digits (0 to 3, one a base) and mask (1 where another letter stands), two strings of the sequence's length."""
     upper = F.translate(seq, "acgtuU", "ACGTTT")
-    digits = F.translate(F.regexp_replace(upper, "[^ACGT]", "A"), "ACGT", "0123")
-    bases = F.split(upper, "")
-    places = F.filter(F.transform(bases, lambda b, i: F.when(~b.isin("A", "C", "G", "T") & (b != ""), i)), lambda i: i.isNotNull())
-    return F.struct(digits.alias("bits"), places.alias("n"))
+    digits = F.translate(F.regexp_replace(upper, "(?s)[^ACGT]", "A"), "ACGT", "0123")
+    mask = F.regexp_replace(F.regexp_replace(upper, "(?s)[^ACGT]", "1"), "[ACGT]", "0")
+    return F.struct(digits.alias("digits"), mask.alias("mask"))
 
 
 def decode_bases(code: Column) -> Column:
     """The sequence of `encode_bases`, with N for other letters; the length is kept."""
-    plain = F.split(F.translate(code["bits"], "0123", "ACGT"), "")
-    return F.array_join(F.transform(plain, lambda b, i: F.when((b != "") & F.array_contains(code["n"], i), "N").otherwise(b)), "")
+    plain, mask = F.split(F.translate(code["digits"], "0123", "ACGT"), ""), F.split(code["mask"], "")
+    return F.array_join(F.zip_with(plain, mask, lambda b, m: F.when(m == "1", "N").otherwise(b)), "")
 
 
 def pack_barcode(lossy: Column) -> Column:

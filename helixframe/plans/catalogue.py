@@ -555,6 +555,18 @@ def quant(spark, d):
     return quantify_indexed(index(spark, d, 31, 20), X.reads(spark, d), None, k=31, s=20)
 
 
+QUANT_COUNTS = f"""{standing_sql('1')} AS spliced, {standing_sql('2')} AS unspliced, {standing_sql('3')} AS "both", {standing_sql('4')} AS conflicting, {standing_sql('8')} AS unknown, {standing_sql('3, 4, 8')} AS ambiguous, CAST(len(r) AS BIGINT) AS total"""
+
+
+@query(
+    f"""{CONSENSUS}, pf AS ({PREFILTER}), rec AS (SELECT hg.read_id, substr(r1, 1, 16) AS cell, substr(r1, 17, 12) AS umi, gene, CAST(state AS INTEGER) AS state FROM hg JOIN hn USING (read_id) JOIN reads USING (read_id) JOIN pf USING (read_id)
+  WHERE c = n AND n >= 2 AND filter = 'pass' AND regexp_matches(r1, '^[ACGT]{{28}}$')), {CANDIDATES[CANDIDATES.index('per AS'):]}, {COLLAPSE} SELECT gene, cell, {QUANT_COUNTS} FROM cf"""
+)
+def quant_all_kmers(spark, d):
+    """Reads to state counts, end to end, over all k-mers of a size that SQL can hold."""
+    return quantify_indexed(index(spark, d), X.reads(spark, d), None, k=K, s=None, cap=CAP)
+
+
 # --- intervals --------------------------------------------------------------------------------------------------------
 
 DAY = "CAST(epoch({}) // 86400 AS BIGINT)"
