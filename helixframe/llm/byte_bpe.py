@@ -7,8 +7,9 @@ sequence whose neighbours are all compatible is the result of the merges, so the
 a merge queue; positions from which no way leads on are marked, so each is left once at most and the
 work is linear in the length. Compatibility of a pair is computed once and remembered.
 
-Whole texts are cut first where a space follows a character that is no white space: no match of the pattern
-reaches across. Each such unit is encoded once per worker while it is remembered (a bounded memory).
+Many texts at once are cut into matches of the pattern by array operations on their bytes where they are plain
+(`plain_text`); their distinct pieces are encoded once per worker while they are remembered (a bounded memory). Other texts
+are cut first where a space follows a character that is no white space, as no match of the pattern reaches across.
 
 Defined cases: a null text counts as empty; an empty text has no tokens; ids repeat for repeated rows; strings
 that look like special tokens are ordinary text. Only the id and text columns are read, so other columns
@@ -25,15 +26,19 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, rows_of, table, texts
+from . import plain_text
+from .common import Memo, laid_out, rows_of, table, with_groups
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a worker remembers, twice at most: units, matches of the pattern and pairs of tokens; the most characters of the first two.
-MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, LONGEST, DOCS = 150_000, 150_000, 150_000, 64, 512
+MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, LONGEST, DOCS = 50_000, 300_000, 200_000, 64, 512
+#: Bytes of text whose units are looked up together.
+GROUP = 1 << 22
 
 
 class ByteBPE:
@@ -47,8 +52,14 @@ class ByteBPE:
         # Tokens that merging their own bytes doesn't give can only be a whole match.
         self.latin = {t.decode("latin-1"): r for t, r in self.ranks.items() if len(t) == 1 or self.merged(t) == [r]}
         self.automaton = ahocorasick.Automaton()
-        for token, rank in self.latin.items():
-            self.automaton.add_word(token, rank)
+        # Every beginning of a usable token is a word of the automaton, with the length and id of the longest one that begins it.
+        for token in self.latin:
+            at = 0
+            for n in range(1, len(token) + 1):
+                rank = self.latin.get(token[:n])
+                if rank is not None:
+                    at = n << 32 | rank
+                self.automaton.add_word(token[:n], at)
         #: By id: length and id of the longest usable token that begins the token; (0, -1): none.
         self.shorter = [(0, -1)] * len(self.bytes_of)
         for token, rank in self.latin.items():
@@ -83,16 +94,15 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         piece, end = raw.decode("latin-1"), len(raw)
-        depth, token_of, known, shorter, longest = self.automaton.longest_prefix, self.latin.get, self.pairs, self.shorter, self.longest
+        depth, begins, known, shorter, longest = self.automaton.longest_prefix, self.automaton.get, self.pairs, self.shorter, self.longest
         ids: list[int] = []
         dead = bytearray(end + 1)
         at, size = 0, -1
         while at < end:
             if size < 0:
                 rest = piece[at : at + longest]
-                size = depth(rest)
-                while (token := token_of(rest[:size])) is None:
-                    size -= 1
+                found = begins(rest[: depth(rest)])
+                size, token = found >> 32, found & 0xFFFFFFFF
             while size:
                 if not dead[at + size]:
                     if not ids:
@@ -113,8 +123,7 @@ class ByteBPE:
 
     def pack(self, unit: str) -> bytes:
         # array("I") is in the machine's order: little-endian wherever Spark's executors run.
-        pieces, known = self.pattern.findall(unit), self.pieces
-        return b"".join([known[x] or self.pieces.keep(x, array("I", self.encode_piece(x.encode("utf-8"))).tobytes()) for x in pieces])
+        return b"".join([self.piece(x.encode()) for x in self.pattern.findall(unit)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -134,6 +143,47 @@ class ByteBPE:
             out.append(self.pack(held))
         return b"".join(out)
 
+    def pieces_of(self, data: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where the matches of the pattern start in plain texts."""
+        first = plain_text.runs(kind, rows)
+        # The last of white space before something else is a match of its own, or if it is a space begins the next one.
+        after = np.flatnonzero(first[1:] & (kind[1:] != plain_text.SPACE) & (kind[:-1] == plain_text.SPACE)) + 1
+        after = after[~np.isin(after, rows)]
+        first[after - 1] = True
+        first[after[data[after - 1] == 0x20]] = False
+        plain_text.contract(data, kind, rows, first)
+        return np.flatnonzero(first)
+
+    def encode_group(self, column: pa.Array) -> list[bytes]:
+        """The same for many texts: plain ones are cut by array operations, their distinct pieces looked up once, and the ids laid
+        out; others are encoded one by one."""
+        column = column.cast(pa.large_string())
+        rows = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]]
+        rows = rows - rows[0]
+        _, kind, odd = plain_text.classify(data, rows, False)
+        starts = self.pieces_of(data, kind, rows) if len(data) else np.zeros(0, np.int64)
+        bounds = np.searchsorted(starts, rows)
+        keep = np.ones(len(starts), bool)
+        for i in odd.tolist():
+            keep[bounds[i] : bounds[i + 1]] = False
+        cuts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        pieces = cuts.filter(pa.array(keep)).dictionary_encode()
+        found = [self.piece(x) for x in pieces.dictionary.to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        # Each text is closed by an entry of its own: nothing, or all its ids if it is not plain.
+        closing = np.full(len(column), len(found))
+        closing[odd] += 1 + np.arange(len(odd))
+        found += [b"", *(self.encode(column[i].as_py()) for i in odd.tolist())]
+        code = np.insert(pieces.indices.to_numpy(), bounds[1:], closing)
+        ids, stops = laid_out(found, code, np.dtype("<u4"))
+        whole, ends = memoryview(ids.tobytes()), (4 * stops[bounds[1:] + np.arange(len(column))]).tolist()
+        return [bytes(whole[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+
+    def piece(self, raw: bytes) -> bytes:
+        found = self.pieces[raw]
+        return self.pieces.keep(raw, array("I", self.encode_piece(raw)).tobytes()) if found is None else found
+
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -154,18 +204,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """A row a document: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids) and, if asked for,
     ids. Of equal texts that follow one another, as the copies that mixing makes do, one is encoded."""
 
-    def work(bpe: ByteBPE, text: str) -> tuple[bytes, str, str]:
-        ids = bpe.encode(text)
+    def digests(bpe: ByteBPE, ids: bytes) -> tuple[bytes, str, str]:
         return ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
     def run(batches):
-        bpe, last, held = codec(ranks), None, None
-        for batch in rows_of(batches, DOCS):
-            out = []
-            for text in texts(batch, "text"):
-                if text != last:
-                    last, held = text, work(bpe, text)
-                out.append(held)
+        bpe = codec(ranks)
+        for batch, group in ((x, g) for b in batches for x, g in with_groups(b, "text", GROUP)):
+            # The places of texts that are not those of the row before.
+            new = np.flatnonzero(np.r_[True, pc.not_equal(group[1:], group[:-1]).to_numpy(zero_copy_only=False)])
+            made = [digests(bpe, x) for x in bpe.encode_group(group.take(pa.array(new)))]
+            out = [made[i] for i in (np.searchsorted(new, np.arange(len(group)), side="right") - 1).tolist()]
             found = [pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
             if with_ids:
                 found.append(pa.array([x[0] for x in out], pa.binary()))

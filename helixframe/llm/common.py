@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +108,36 @@ def texts(batch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def groups_of(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A column of texts cut to groups of about size bytes, or one text if that is longer; null as empty."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield column.slice(at, stop - at)
+        at = stop
+
+
+def with_groups(batch: pa.RecordBatch, name: str, size: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch cut to groups of rows, each with its texts."""
+    at = 0
+    for group in groups_of(batch.column(name), size):
+        yield batch.slice(at, len(group)), group
+        at += len(group)
+
+
+def laid_out(found: list[bytes], code: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that found holds for each code, end to end, and where each code's stop."""
+    sizes = np.array([len(x) for x in found], np.int64) // kind.itemsize
+    many = sizes[code]
+    stops = np.cumsum(many)
+    small = np.int32 if max(int(sizes.sum()), int(stops[-1]) if len(stops) else 0) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[code] - stops + many).astype(small), many)
+    at += np.arange(len(at), dtype=small)
+    return np.frombuffer(b"".join(found), kind)[at], stops
+
+
 def rows_of(batches: Iterable, size: int) -> Iterator:
     """Arrow batches cut to size rows at most."""
     for batch in batches:

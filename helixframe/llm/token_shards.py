@@ -21,9 +21,7 @@ what the tokenizers library makes of them; an empty table gives an empty folder
 from __future__ import annotations
 
 import struct
-import unicodedata
 import zlib
-from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -33,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_path, partitions, rows_of, table
+from . import plain_text
+from .common import Memo, fresh_path, groups_of, laid_out, partitions, rows_of, table, with_groups
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Ids in a shard before it is closed; entries that a worker remembers.
@@ -196,34 +195,11 @@ class WaveletMatrix:
         return cls(Planes(n, before, [blocks[k * count : (k + 1) * count] for k in range(planes)]))
 
 
-#: Kinds of characters for the pattern of the file: a run of letters is a piece, a digit is one, and a run of others.
-SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
-#: Characters below this may be plain: normal as they stand, with one lower case of as many bytes.
-PLAIN = 0x180
-CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-
-
-def kinds() -> tuple[np.ndarray, np.ndarray]:
-    """The kind and the lower case of each character below PLAIN; what is not plain is FOREIGN."""
-    kind, lower = np.full(PLAIN, OTHER, np.uint8), np.arange(PLAIN, dtype=np.uint16)
-    for i in range(PLAIN):
-        c = chr(i)
-        lower[i] = ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < PLAIN else i
-        category = unicodedata.category(c)
-        if c in " \t\n\x0b\x0c\r":
-            kind[i] = SPACE
-        elif 0x7F < i <= 0xA0 or len(c.lower()) != 1 or unicodedata.normalize("NFC", c) != c:
-            kind[i] = FOREIGN  # among them the white space beyond ASCII
-        elif category[0] in "LN":
-            kind[i] = LETTER if category[0] == "L" else DIGIT
-    return kind, lower
-
-
 class Encoder:
     """Whole texts to ids by the tokenizers library, asked once for each piece while it is remembered.
 
     The file's normalizer lower-cases, composes and makes every white space a space, and its pattern drops white space
-    and cuts the rest to runs. Texts of plain characters (`kinds`) are lower-cased and cut here, many at once, by array
+    and cuts the rest to runs. Texts of plain characters are lower-cased and cut here, many at once, by array
     operations on their bytes; their distinct pieces are looked up, those that are new are asked for together, and the ids
     are laid out. In other texts neither the normalizer nor the pattern reaches over a space, so the library is
     asked for what stands between spaces. A text that holds a special token goes to the library whole."""
@@ -247,7 +223,6 @@ class Encoder:
         added = json.load(open(path))["added_tokens"]
         self.special = [x["content"] for x in added]
         self.between, self.between_id = added[-1]["content"], added[-1]["id"]
-        self.kinds, self.lower = kinds()
 
     def ids_of(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
@@ -290,52 +265,17 @@ class Encoder:
                 found[i] = memo.keep(wanted[i], ids)
         return found
 
-    def plain(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of texts laid end to end, lower-cased; the kind of the character of each; the texts that are not plain."""
-        kind, low = self.kinds[np.minimum(data, 0x7F)], self.lower[:0x80].astype(np.uint8)[np.minimum(data, 0x7F)]
-        high = np.flatnonzero(data >= 0x80)
-        if not len(high):
-            return low, kind, np.zeros(0, np.int64)
-        low[high] = data[high]
-        lead = high[data[high] >= 0xC0]
-        code = (data[lead].astype(np.int64) & 0x3F) << 6 | data[np.minimum(lead + 1, len(data) - 1)] & 0x3F
-        own = (data[lead] < 0xE0) & (code < PLAIN)
-        of = np.where(own, self.kinds[np.where(own, code, 0)], FOREIGN)
-        odd = np.unique(np.searchsorted(rows, lead[of == FOREIGN], side="right") - 1)
-        lead, code, of = lead[own], code[own], of[own]
-        new = self.lower[code]
-        low[lead], low[lead + 1] = 0xC0 | new >> 6, 0x80 | new & 0x3F
-        kind[lead] = kind[lead + 1] = of
-        return low, kind, odd
-
     def pieces_of(self, low: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where the pieces of plain texts, and the white space between them, start."""
-        first = np.empty(len(low), bool)
-        first[:1] = True
-        np.not_equal(kind[1:], kind[:-1], out=first[1:])
-        first |= (kind == DIGIT) & (low & 0xC0 != 0x80)  # a digit of two bytes is one piece
-        first[rows[:-1][rows[:-1] < len(low)]] = True
-        # An apostrophe that is a whole run takes the ending behind it.
-        mark = np.flatnonzero((low[:-1] == 0x27) & first[:-1] & first[1:] & (kind[1:] == LETTER))
-        mark = mark[~np.isin(mark + 1, rows)]
-        if len(mark):
-            stop = np.append(rows[1:], len(low))[np.searchsorted(rows, mark, side="right") - 1]
-            free = np.ones(len(mark), bool)
-            for x in CONTRACTIONS:
-                fits = free & (mark + len(x) < stop)
-                for k, c in enumerate(x.encode(), 1):
-                    fits[fits] = low[mark[fits] + k] == c
-                free &= ~fits
-                at = mark[fits]
-                first[at + 1] = False
-                after = at + len(x) + 1
-                first[after[after < len(low)]] = True
+        first = plain_text.runs(kind, rows)
+        first |= (kind == plain_text.DIGIT) & (low & 0xC0 != 0x80)  # a digit of two bytes is one piece
+        plain_text.contract(low, kind, rows, first)
         return np.flatnonzero(first)
 
     def encode_column(self, column: pa.Array, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a column of texts end to end, each text closed by the id `last`, and where each text starts and the last one stops."""
         tail = np.array([] if last is None else [last], self.kind)
-        parts = [self.encode_group(x, tail) for x in groups_of(column)]
+        parts = [self.encode_group(x, tail) for x in groups_of(column, GROUP)]
         ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, self.kind)
         return ids, np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in parts]), dtype=np.int64)]) if parts else np.zeros(1, np.int64)
 
@@ -345,14 +285,14 @@ class Encoder:
         rows = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]]
         rows = rows - rows[0]
-        low, kind, odd = self.plain(data, rows)
+        low, kind, odd = plain_text.classify(data, rows, True)
         whole = np.flatnonzero(reduce(pc.or_, [pc.match_substring(column, x) for x in self.special]).to_numpy(zero_copy_only=False))
         odd = np.union1d(odd, whole)
         for i in odd.tolist():  # these are white space here
-            kind[rows[i] : rows[i + 1]] = SPACE
+            kind[rows[i] : rows[i + 1]] = plain_text.SPACE
         starts = self.pieces_of(low, kind, rows) if len(low) else np.zeros(0, np.int64)
         runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(low))), pa.py_buffer(low)])
-        white = kind[starts] == SPACE
+        white = kind[starts] == plain_text.SPACE
         pieces = runs.filter(pa.array(~white)).dictionary_encode()
         found = self.known(self.pieces, [x.decode() for x in pieces.dictionary.to_pylist()], self.ask_pieces)
         code = pieces.indices.to_numpy()
@@ -365,13 +305,8 @@ class Encoder:
         code = np.insert(code, bounds[1:], closing)
         ends = bounds[1:] + np.arange(1, len(rows))
         code[ends[odd] - 1] = closing + 1 + np.arange(len(odd))
-        sizes = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
-        many = sizes[code]
-        stops = np.cumsum(many)
-        small = np.int32 if max(int(sizes.sum()), int(stops[-1])) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(sizes) - sizes)[code] - stops + many).astype(small), many)
-        at += np.arange(len(at), dtype=small)
-        return np.frombuffer(b"".join(found), self.kind)[at], np.diff(stops[ends - 1], prepend=0)
+        ids, stops = laid_out(found, code, self.kind)
+        return ids, np.diff(stops[ends - 1], prepend=0)
 
     def other(self, text: str, whole: bool) -> bytes:
         """The ids of a text that is not plain."""
@@ -383,25 +318,6 @@ class Encoder:
         return np.split(ids, at[1:-1]) if len(batch) else []
 
 
-def with_groups(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """A batch cut to groups of rows, each with its texts."""
-    at = 0
-    for group in groups_of(batch.column(name)):
-        yield batch.slice(at, len(group)), group
-        at += len(group)
-
-
-def groups_of(column: pa.Array) -> Iterator[pa.Array]:
-    """A column of texts cut to groups of about GROUP bytes, or one text if that is longer; null as empty."""
-    column = pc.fill_null(column, "")
-    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP, side="right")))
-        yield column.slice(at, stop - at)
-        at = stop
-
-
 @cache
 def encoder(name: str) -> Encoder:
     import public_tokenizers
@@ -428,7 +344,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches):
         own = encoder(tokenizer)
-        for batch, group in ((x, g) for b in batches for x, g in with_groups(b, "text")):
+        for batch, group in ((x, g) for b in batches for x, g in with_groups(b, "text", GROUP)):
             ids, stops = own.encode_column(group, end)
             whole = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(stops * own.kind.itemsize), pa.py_buffer(ids)])
             at = batch.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)

@@ -48,6 +48,9 @@ def test_byte_bpe_equals_the_library():
         ids = own.encode(t)
         assert ids == pack(library.encode_ordinary(t))
         assert own.decode(ids) == t.encode()
+    import pyarrow as pa
+
+    assert own.encode_group(pa.array(TEXTS)) == [pack(library.encode_ordinary(t)) for t in TEXTS]
 
 
 def test_piece_counts_equal_the_library():
@@ -68,10 +71,25 @@ def test_word_ids_equal_the_library():
     assert [x.tolist() for x in own.encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def grouped(text):
+    """The ids of a text among others, as batches have them."""
+    import pyarrow as pa
+
+    return byte_bpe.codec(byte_bpe.RANKS).encode_group(pa.array(["it's", text, "", text]))[1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab Zé'std\n\t 12²¼.-ÿÀ", max_size=40))
+def test_plain_text(text):
+    assert grouped(text) == pack(tiktoken_encoder_once().encode_ordinary(text))
+    assert [x.tolist() for x in token_shards.encoder(token_shards.TOKENIZER).encode(["a", text, "b"])][1] == words_once().encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
     assert byte_bpe.codec(byte_bpe.RANKS).encode(text) == pack(tiktoken_encoder_once().encode_ordinary(text))
+    assert grouped(text) == pack(tiktoken_encoder_once().encode_ordinary(text))
     assert token_count.counter(token_count.MODEL).count([text]) == [len(pieces_once().encode(text))]
     assert [x.tolist() for x in token_shards.encoder(token_shards.TOKENIZER).encode([text])] == [words_once().encode(text, add_special_tokens=False).ids]
 
