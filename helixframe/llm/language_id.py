@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, rows_of, table, texts
+from .common import drawn, released, rows_of, table, texts
 
 UNKNOWN = "und"
 #: Rows that the model is fitted on at most, features, bytes of text hashed at a time, and documents taken from a batch at a time.
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             found = [pa.array([x for x, _ in out], pa.string()), pa.array([float(x) for _, x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"c{i}") for i in range(len(keep))), *found], [*(f"c{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
+    return source.mapInArrow(released(run), f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

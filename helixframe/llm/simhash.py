@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, lookup, partitions, rows_of, table, texts, written
+from .common import UPPER, lookup, partitions, released, rows_of, table, texts, written
 
 WORD = re.compile("[^ \t-\r]+")
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -200,7 +200,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(f.view(np.int64))], ["id", "h", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h long, f long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, h long, f long")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
