@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plain_text
-from .common import Memo, laid_out, released, rows_of, table, with_groups
+from .common import Memo, give_back, laid_out, released, rows_of, table, with_groups
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a worker remembers, twice at most: units, matches of the pattern and pairs of tokens; the most characters of the first two.
 MEMO_UNITS, MEMO_PIECES, MEMO_PAIRS, LONGEST, DOCS = 10_000, 150_000, 100_000, 64, 512
 #: Bytes of text whose units are looked up together.
-GROUP = 1 << 21
+GROUP = 1 << 20
 
 
 class ByteBPE:
@@ -217,6 +217,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             found = [pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
             if with_ids:
                 found.append(pa.array([x[0] for x in out], pa.binary()))
+            give_back()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), SCHEMA + ", ids binary" * with_ids)

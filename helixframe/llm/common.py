@@ -139,16 +139,20 @@ def laid_out(found: list[bytes], code: np.ndarray, kind: np.dtype) -> tuple[np.n
     return np.frombuffer(b"".join(found), kind)[at], stops
 
 
+def give_back() -> None:
+    """Gives back what Arrow and the allocator hold idle."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
-    """run, a function of Arrow batches, that gives back what Arrow and the allocator hold idle when a task ends: a worker lives
-    on for the stages behind."""
+    """run, a function of Arrow batches, that gives back idle memory when a task ends: a worker lives on for the stages behind."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped
 
