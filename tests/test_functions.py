@@ -139,3 +139,34 @@ def test_build_targets(spark):
     assert got == {"exon_transcript": back(text[8:12]) + back(text[1:4]), "gene_body": back(text[1:15]), "intron": back(text[12:15]) + back(text[4:8])}
     with pytest.raises(Exception, match="out of bounds"):
         I.build_targets(genes, exons.withColumn("end", F.col("end") + 10), genome, "exon_transcript").collect()
+
+
+def test_seeds_pass_in_small_batches(spark, monkeypatch):
+    """A batch of many sequences is not held whole: what leaves the function follows what went in closely."""
+    import pyarrow as pa
+
+    taken = []
+
+    class Frame:
+        columns, schema = ["i", "seq"], spark.range(0).selectExpr("id AS i", "'' AS seq").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+
+    seeding.seeds(Frame(), "seq", 15, strand=True)
+    rng = random.Random(1)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(100)]
+    whole = pa.RecordBatch.from_pydict({"i": list(range(100)), "seq": seqs})
+    calls = []
+    own = seeding.kmers
+    monkeypatch.setattr(seeding, "kmers", lambda *a: calls.append(1) or own(*a))
+    out = taken[0](iter([whole]))
+    first = next(out)
+    assert len(calls) <= 2 * 12 + 1 and first.num_rows <= seeding.ROWS
+    rows = [first, *out]
+    assert sum(x.num_rows for x in rows) == 2 * 100 * 2986
+    got = pa.Table.from_batches(rows).to_pydict()
+    assert got["i"] == sorted(got["i"]) and [c for c, s, i in zip(got["code"], got["strand"], got["i"]) if i == 99 and s == 0] == own(seqs[99].encode(), 15)[1].tolist()
